@@ -15,6 +15,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -46,3 +52,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def worker_state() -> dict:
+    """A dictionary that lives as long as the Python worker process.
+
+    Functions travel by value, so their module's globals are new in every task;
+    what is costly to load (vocabularies, word caches) is kept here instead.
+    """
+    import sys
+    import types
+
+    return sys.modules.setdefault("_millrace_worker_state", types.ModuleType("_millrace_worker_state")).__dict__
