@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, license_scan, packing, pii, quality_rules, simhash, substring_dedup
+from . import bpe, exact_dedup, license_scan, packing, pii, quality_nb, quality_rules, simhash, substring_dedup, warc
 from .common import documents, tokenizer_path
 
 
@@ -26,6 +26,16 @@ def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.lookup(warc.write_archive(pages), pages).drop("payload")
+
+
+def op6_quality_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_nb.score(docs, quality_nb.train(docs, labels))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir))
 
@@ -53,7 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": EXACT_SQL}
+    return {"op5_warc_capture_index": WARC_SQL, "op8_exact_dedup": EXACT_SQL}
 
 
 EXACT_SQL = """
@@ -65,3 +75,17 @@ SELECT doc_id,
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), q AS (
+  SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest,
+         min(page_id) OVER (PARTITION BY body) AS first_id
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM q
+"""
