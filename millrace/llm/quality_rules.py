@@ -21,49 +21,55 @@ from .common import WORD_GAP, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A document is rejected when more than this percentage of its word characters goes.
+#: A document is rejected when more than this percentage of its characters goes.
 MAX_LOST_PERCENT = 40
 
-_GAPS = " \t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
-#: Lines with at most so many words are headings or labels when they lack final punctuation.
+# Classes of single characters, for counting.
+_SYMBOLS = r"[#*$%&|<>]"
+_SEPARATORS = r"[|»›·•]"
+_PUNCTUATION = r"[!?;:=/\\_~^+\"`@.,()\[\]{}#*$%&|<>-]"
+_HAS_WORD = r"[^\x20\x09-\x0D]"
+#: Lines with fewer words are headings or labels when they lack final punctuation.
 SHORT_LINE = 4
+#: Page furniture comes in lines of at most so many characters.
+FURNITURE_CHARS = 200
 
 # Wordings of page furniture, matched on lower-cased lines.
 _NAVIGATION = r"^(home|menu|log ?in|sign ?(in|up)|next( page)?|previous( page)?|back to top|skip to (main )?content|read more|share (this|on) .*|search|contact( us)?|about( us)?)\W*$"
 _BOILERPLATE = r"all rights reserved|(accept|use[sd]?) (of )?cookies|enable javascript|terms of (use|service)|privacy policy|subscribe to our|click here to|lorem ipsum"
 
 
-def _chars(text: Column) -> Column:
-    return F.length(F.translate(text, _GAPS, ""))
+def _count(text: Column, kind: str) -> Column:
+    return F.regexp_count(text, F.lit(kind))
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, WORD_GAP), "")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
+def _let(value: Column, body) -> Column:
+    """Bind *value* once for *body* (a lambda variable is not evaluated again)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def line_fails(line: Column) -> Column:
-    """True for a line that has words and breaks a rule."""
-    chars, low, words = _chars(line), F.lower(F.trim(line)), F.size(_words(line))
-    separators = _count(line, "|»›·•")
-    punctuation = _count(line, "!?;:=/\\_~^+\"`@-.,()[]{}" + _SYMBOLS)
-    no_end = ~line.rlike("[.!?…:;。！？][\"'”’»)\\]]*\\s*$")
-    navigation = (separators >= 3) & (separators * 5 > words) | low.rlike(_NAVIGATION)
-    boilerplate = low.rlike(_BOILERPLATE) & (words <= 30)
-    odd_punctuation = (words > SHORT_LINE) & (punctuation * 4 > chars) | (_count(line, _SYMBOLS) * 10 > chars)
-    return (chars > 0) & (navigation | boilerplate | odd_punctuation | (no_end & (words < SHORT_LINE) & (words > 0)))
+    """True for a line that has words and breaks a rule; cheap tests come first."""
+    low, size, words = F.lower(F.trim(line)), F.length(line), F.size(_words(line))
+    short = size <= FURNITURE_CHARS
+    no_end = short & ~line.rlike("[.!?…:;。！？][\"'”’»)\\]]*\\s*$") & (words < SHORT_LINE)
+    navigation = _let(_count(line, _SEPARATORS), lambda n: (n >= 3) & (n * 5 > words))
+    furniture = short & (low.rlike(_NAVIGATION) | low.rlike(_BOILERPLATE))
+    odd = (_count(line, _PUNCTUATION) * 5 > size) & (words > SHORT_LINE) | (_count(line, _SYMBOLS) * 10 > size)
+    return line.rlike(_HAS_WORD) & (no_end | furniture | navigation | odd)
 
 
 def _n_repeat_words(words: Column) -> Column:
     """Words covered by 3-word windows that occur twice or more.
 
-    Windows are sorted by a 64-bit hash with their position; equal neighbours are
-    repeats.  Of the sorted repeat positions p1 < p2 < … the union of [p, p+2] has
-    the sum of min(3, gap to the next) words, 3 for the last.
+    Windows are hashed to 64 bits; if any hash repeats they are sorted by hash and
+    position, and equal neighbours are repeats.  Of the sorted repeat positions
+    p1 < p2 < … the union of [p, p+2] has the sum of min(3, gap to the next) words, 3
+    for the last.
     """
 
     def hit_positions(ws: Column) -> Column:
@@ -86,17 +92,17 @@ def _n_repeat_words(words: Column) -> Column:
             lambda a, b: a + b,
         )
 
-    def let(value: Column, body) -> Column:
-        """Bind *value* once for *body* (a lambda variable is not evaluated again)."""
-        return F.element_at(F.transform(F.array(value), body), 1)
-
-    windows = F.transform(
+    hashes = F.transform(
         F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
+        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
     )
-    return F.when(
-        F.size(words) >= 3, let(F.sort_array(windows), lambda ws: let(hit_positions(ws), covered))
-    ).otherwise(0)
+
+    def count(hs: Column) -> Column:
+        placed = F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        repeats = _let(F.sort_array(placed), lambda ws: _let(hit_positions(ws), covered))
+        return F.when(F.size(F.array_distinct(hs)) < F.size(hs), repeats).otherwise(0)
+
+    return F.when(F.size(words) >= 3, _let(hashes, count)).otherwise(0)
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -114,9 +120,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.select(
         "*",
         F.size("_words").cast("long").alias("n_words"),
-        _chars(F.col("_text")).cast("long").alias("word_chars"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         _count(F.col("_text"), _SYMBOLS).cast("long").alias("n_symbols"),
-        F.filter("_lines", lambda x: _chars(x) > 0).alias("_full"),
+        F.filter("_lines", lambda x: x.rlike(_HAS_WORD)).alias("_full"),
         F.filter("_lines", lambda x: ~line_fails(x)).alias("_good"),
         _n_repeat_words(F.col("_words")).cast("long").alias("n_repeat_words"),
     )
@@ -125,7 +131,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "*",
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
         clean.alias("clean_text"),
-        (_chars(clean) * 100 < F.col("word_chars") * (100 - MAX_LOST_PERCENT)).alias("_lost"),
+        (F.length(clean) * 100 < F.length("_text") * (100 - MAX_LOST_PERCENT)).alias("_lost"),
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias(
             "base_failed"
         ),
