@@ -33,10 +33,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_state
+
 #: Words compiled into the lexicon at most; the rest is merged when met.
 LEXICON_WORDS = 50_000
 #: Words that a worker remembers at most.
 CACHED_WORDS = 400_000
+#: Words of at most so many bytes are merged by plain scanning.
+SHORT_WORD = 48
 
 # White space of Unicode, and the two word patterns of the vocabularies.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -94,8 +98,11 @@ class Vocabulary:
     def merge(self, word: str) -> list[int]:
         """The ids of one word by exact merges: lowest rank first, then leftmost."""
         raw = word.encode("utf-8", "surrogatepass")
-        ids = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
         n, pairs = len(ids), self.pairs
+        if n <= SHORT_WORD:
+            return self._merge_short(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(pairs[p][0], i, p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in pairs]
         heapq.heapify(heap)
@@ -113,6 +120,20 @@ class Vocabulary:
                     heapq.heappush(heap, (pairs[p][0], k, p))
         return [i for i in ids if i >= 0]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The same by scanning all pairs for each merge."""
+        get, none = self.pairs.get, (1 << 62, 0)
+        ranked = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while ranked and (best := min(ranked)) is not none:
+            i = ranked.index(best)
+            ids[i : i + 2] = [best[1]]
+            del ranked[i]
+            if i:
+                ranked[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(ranked):
+                ranked[i] = get((ids[i], ids[i + 1]), none)
+        return ids
+
 
 class Lexicon:
     """A compiled minimal acyclic transducer from words to ids, read in place.
@@ -278,7 +299,10 @@ def encode_documents(
     schema += ", ids array<int>, decoded string" if with_text else ""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path), Lexicon.open(SparkFiles.get(name)))
+        state = worker_state()
+        if (path, name) not in state:
+            state[path, name] = Encoder(Vocabulary(path), Lexicon.open(SparkFiles.get(name)))
+        encoder = state[path, name]
         for batch in batches:
             counts, of_ids, of_text, all_ids, all_text = [], [], [], [], []
             for text in batch.column("_text"):
