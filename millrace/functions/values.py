@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The number grammar of cells.
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity|nan)$"
@@ -32,7 +33,7 @@ def format_number(v: float | None) -> str | None:
     return text.rstrip("0").rstrip(".") if "." in text else text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _format(values: pd.Series) -> pd.Series:
     return pd.Series([format_number(v) for v in values], dtype=object)
 

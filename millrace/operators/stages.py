@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..functions.evaluate import Scope, condition, evaluate
+from ..functions.evaluate import Scope, can_fail, condition, evaluate
 from ..functions.values import Value, formatted
 from ..plans.errors import ScriptError
 from ..plans.expr import Node, walk
@@ -51,9 +51,10 @@ def add(rel: Relation, args: dict, number: str | None) -> Relation:
     value = evaluate(scope, node)
     rel, physical = rel.add(value)
     made = Field(name, physical, value.kind, value.static)
-    if scope.relation and _can_stop(scope, node):
-        # a column that nothing reads is pruned and its errors with it; a filter is not
-        rel = rel.with_(df=rel.df.filter(F.coalesce(F.col(physical).isNotNull(), F.lit(True)) | F.lit(True)))
+    if can_fail(scope, node):
+        # a column that nothing reads is pruned and its errors with it; a filter that
+        # always holds, but not so that the optimizer can tell, is not
+        rel = rel.with_(df=rel.df.filter(F.hash(physical) >= -(1 << 31)))
     if name in rel.header:
         at = rel.header.index(name)
     elif name.isdigit() and not args["quoted"]:
@@ -64,12 +65,6 @@ def add(rel: Relation, args: dict, number: str | None) -> Relation:
     return rel.with_(fields=[*rel.fields[:at], made, *rel.fields[at + 1 :]])
 
 
-def _can_stop(scope: Scope, node: Node) -> bool:
-    from ..functions.evaluate import can_fail
-
-    return can_fail(scope, node)
-
-
 def _range(rel: Relation, text: str) -> list[int] | None:
     """Positions of an inclusive range like 2-4, a:d or 2:name; None if it is none."""
     m = re.fullmatch(r"(\d+)-(\d+)", text) or re.fullmatch(r"([^:]+):([^:]+)", text)
