@@ -187,6 +187,8 @@ def _compare(scope: Scope, node: Node) -> Column:
         for side in (a, b):
             if side.kind == "str" and not _reads_as_number(side.value):
                 raise ScriptError(f"'{side.value}' is compared with a number and is none")
+        if left.kind in ("num", "int") and a.kind == "col" and b.kind in ("num", "str"):
+            return _against_literal(op, left, float(b.value if b.kind == "num" else b.value.strip() or "0"))
         sides = [_literal_number(v, n) for v, n in ((left, a), (right, b))]
         return _numeric(op, *sides)
     equality = op in ("==", "!=")
@@ -218,6 +220,23 @@ def _literal_number(value: Value, node: Node) -> Value:
     return value
 
 
+def _against_literal(op: str, value: Value, literal: float) -> Column:
+    """A stored number against a literal, in a form that Parquet filters take.
+
+    A blank reads as 0 and NaN compares with nothing.
+    """
+    same = literal == literal and abs(literal) < 2**53 and literal == int(literal)
+    if not same and value.kind == "int":
+        return _numeric(op, value, Value("num", F.lit(literal)))
+    column = value.column
+    found = _COMPARE[op](column, F.lit(int(literal)) if value.kind == "int" else F.lit(literal))
+    if value.kind == "num":
+        found = (found | F.isnan(column)) if op == "!=" else (found & ~F.isnan(column))
+    if _COMPARE[op](0.0, literal):
+        return found | column.isNull()
+    return found & column.isNotNull()
+
+
 def _numeric(op: str, left: Value, right: Value) -> Column:
     """Numeric comparison; integers and literals need no NaN guards, so filters reach the scan."""
     x, y = left.number(), right.number()

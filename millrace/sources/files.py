@@ -6,7 +6,7 @@ import itertools
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.errors import ScriptError
@@ -16,15 +16,15 @@ from ..plans.relation import Field, Relation, fresh, kind_of
 MOST_FILES = 10_000
 
 
-def _ordered(df: DataFrame, position: str) -> tuple[DataFrame, list[tuple[str, bool]]]:
-    """The scan with hidden columns that give the rows' order: file, split, place in it."""
+def _place(position: str) -> tuple[list[Column], list[tuple[str, bool]]]:
+    """Hidden columns that give the rows' order: file, split, place in it."""
     file, place = fresh("file"), fresh("row")
-    df = df.withColumn(file, F.col("_metadata.file_path"))
+    path = F.col("_metadata.file_path").alias(file)
     if position == "row_index":
-        return df.withColumn(place, F.col("_metadata.row_index")), [(file, True), (place, True)]
+        return [path, F.col("_metadata.row_index").alias(place)], [(file, True), (place, True)]
     split = fresh("split")
-    df = df.withColumn(split, F.col("_metadata.file_block_start")).withColumn(place, F.monotonically_increasing_id())
-    return df, [(file, True), (split, True), (place, True)]
+    start = F.col("_metadata.file_block_start").alias(split)
+    return [path, start, F.monotonically_increasing_id().alias(place)], [(file, True), (split, True), (place, True)]
 
 
 def from_frame(df: DataFrame) -> Relation:
@@ -43,33 +43,36 @@ def _doubles(df: DataFrame, fields: list[Field]) -> DataFrame:
 def scan_parquet(spark: SparkSession, path: str) -> Relation:
     df = spark.read.parquet(path)
     fields = [Field(f.name, fresh("c"), kind_of(f.name, f.dataType)) for f in df.schema]
-    scan = df.select("*", "_metadata")
-    scan, order = _ordered(scan, "row_index")
-    kept = [F.col(f"`{f.name}`").alias(f.physical) for f in fields]
-    scan = scan.select(*kept, *(c for c, _ in order))
+    place, order = _place("row_index")
+    scan = df.select(*(F.col(f"`{f.name}`").alias(f.physical) for f in fields), *place)
     single = len(df.inputFiles()) == 1
     return Relation(_doubles(scan, fields), fields, order, order[-1][0] if single else None)
 
 
 def scan_csv(spark: SparkSession, path: str, header: str | None = None) -> Relation:
     """Lines split by commas; ``"`` quotes, no row spans lines; short rows read as blank cells."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    lines = lines.select(F.regexp_replace("value", "\r$", "").alias("_line"), "_metadata")
-    lines, order = _ordered(lines, "block")
+    reader = spark.read.option("lineSep", "\n")
+    source = reader.text(path)
+    place, order = _place("block")
+    lines = source.select(F.regexp_replace("value", "\r$", "").alias("_line"), *place)
+    found = sorted(source.inputFiles())
     if header is None or header == "-":
-        first = lines.orderBy(*(c for c, _ in order)).select("_line").first()
-        if first is None:
+        # the first split of a file comes first among splits of its size
+        top = reader.text(found[0]).first() if found else None
+        if top is None:
             raise ScriptError(f"{path} is empty; its first line should name the columns")
-        cells = split_line(first["_line"])
+        cells = split_line(top["value"].removesuffix("\r"))
         names = cells if header is None else [f"c{i + 1}" for i in range(len(cells))]
     else:
         names = split_line(header)
     if header is None:
-        start = F.min(F.struct(*(c for c, _ in order)))
-        place = F.struct(*(F.col(c) for c, _ in order))
-        heads = lines.groupBy(order[0][0]).agg(start.alias("_first"))
-        top = heads.select("_first").collect()  # one row for each file
-        lines = lines.filter(~F.concat_ws("|", *(place[c].cast("string") for c, _ in order)).isin([("|".join(str(x) for x in r["_first"])) for r in top]))
+        file, split, place = (c for c, _ in order)
+        if len(found) == 1:  # the first row of the task that reads the file's start
+            start = F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) == 0
+            lines = lines.filter(~((F.col(split) == 0) & start))
+        else:
+            heads = lines.filter(F.col(split) == 0).groupBy(file).agg(F.min(place).alias("_head"))
+            lines = lines.join(heads, file, "left").filter(~(F.col("_head").eqNullSafe(F.col(place)) & (F.col(split) == 0)))
     fields = [Field(n, fresh("c"), "text") for n in names]
     schema = ", ".join(f"{f.physical} string" for f in fields)
     options = {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\x01", "mode": "PERMISSIVE"}
