@@ -19,7 +19,6 @@ from .plans.script import Stage, parse
 from .sources import files
 
 _TRANSFORMS = {"cols", "rename", "select", "add"}
-_ORDERED = {"head", "tail", "uniq", "graph"}
 
 
 @dataclass
@@ -151,11 +150,10 @@ class Engine:
                     out.colors.append(args)
                 continue
             in_run = False
-            later = any(s.verb in _ORDERED or stages.needs_number([s]) or s.args.get("before") or s.args.get("after") for s in todo[i + 1 :])
             if verb == "join":
                 rel = self._join(rel, args)
             elif verb == "agg":
-                rel = stages.agg(stages.ascending(rel) if later and args["keys"] else rel, args, ordered=True)
+                rel = stages.agg(stages.ascending(rel) if args["keys"] else rel, args)
             elif verb == "uniq":
                 rel = stages.uniq(stages.ascending(rel), args)
             elif verb == "graph":

@@ -1,47 +1,71 @@
 """Row numbers and the row before, in the row order.
 
 A window over all rows would put them into one task.  Instead rows are cut into
-buckets at quantiles of the first order column; numbers count inside a bucket and
+buckets at quantiles of the leading order column; numbers count inside a bucket and
 start at the rows of the buckets before, of which there are few.  Only bucket sizes
 and each bucket's last row cross buckets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..plans.relation import Relation, fresh
 
 #: Buckets, which also is the number of rows of the tables that cross them.
 BUCKETS = 64
-_SORTABLE = {"tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
+_TIMES = {"date", "timestamp", "timestamp_ntz"}
+_NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+
+
+def _along(column: str, kind: str) -> Column | None:
+    """A number that rises (not strictly) with a column, or None."""
+    c = F.col(column)
+    if kind in _NUMBERS or kind == "boolean":
+        return c.cast("double") if kind != "boolean" else c.cast("int").cast("double")
+    if kind in _TIMES:
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if kind == "string":  # the first six bytes
+        start = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(start, 16, 10).cast("double")
+    return None
 
 
 def _bucketed(rel: Relation) -> tuple[Relation, str]:
-    """The relation with a bucket number that rises along the order."""
-    bucket = fresh("bucket")
-    kinds = dict(rel.df.dtypes)
-    # equal leading columns (one file) say nothing; cut by the first that does
-    lead = next(((c, up) for c, up in rel.order if kinds[c] in _SORTABLE), None) if _one_file(rel) else rel.order[0]
-    if lead is None or kinds[lead[0]] not in _SORTABLE:
-        return rel.with_(df=rel.df.withColumn(bucket, F.lit(0))), bucket
-    column, up = lead
+    """The relation with a bucket number that rises along the order.
+
+    Buckets are cut at quantiles of the first order column that has more than one value.
+    """
+    bucket, kinds = fresh("bucket"), dict(rel.df.dtypes)
+    tried = []
+    for column, up in rel.order[:4]:
+        value = _along(column, kinds[column])
+        if value is None:
+            break
+        tried.append((column, up, value))
     cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    value = F.col(column).cast("double") if kinds[column] not in ("date", "timestamp", "timestamp_ntz") else F.unix_micros(F.col(column).cast("timestamp"))
-    found = rel.df.agg(F.percentile_approx(value, cuts, 1000)).first()[0] or []
-    edges = sorted(set(found))
-    number = sum(((value > e).cast("int") for e in edges), F.lit(0))
-    number = F.when(value.isNull(), len(edges) + 1).otherwise(number)
+    made = [
+        F.struct(
+            F.percentile_approx(v, cuts, 1000).alias("cuts"),
+            ((F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1)))).alias("same"),
+        )
+        for c, _, v in tried
+    ]
+    edges, number, up = [], F.lit(0), True
+    found = rel.df.agg(*made).first() if made else []
+    for (_, up, value), seen in zip(tried, found, strict=True):
+        if seen["same"]:
+            continue
+        edges = sorted(set(seen["cuts"] or []))
+        above = sum(((value > e).cast("int") for e in edges), F.lit(0))
+        number = F.when(value.isNull(), len(edges) + 1).otherwise(above)
+        break
     if not up:
         number = F.lit(len(edges) + 1) - number
     return rel.with_(df=rel.df.withColumn(bucket, number)), bucket
 
 
-def _one_file(rel: Relation) -> bool:
-    return rel.row_number is not None or rel.order[0][0].startswith("_file") and len(rel.df.inputFiles()) == 1
-
-
 def number_rows(rel: Relation) -> tuple[Relation, str]:
     """The relation with each row's number, from 1."""
     number = fresh("number")

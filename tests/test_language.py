@@ -51,6 +51,9 @@ def run(spark, tmp_path):
         ("add b = a > 0 ? 'up' : a | cols b", ["b", "up", "-3", "up", "", "up"]),
         ("rename name=colour | cols colour | head 1", ["colour", "red"]),
         ("fn top(n, c) { sort c=nr | head n } top(2, z) | cols id", ["id", "2", "3"]),
+        ("sort z=nr | agg n=count by name", ["name,n", "blue,2", "red,2", "green,1"]),
+        ("sort name=r | add r = rownum() | cols id,r", ["id,r", "1,1", "3,2", "4,3", "2,4", "5,5"]),
+        ("sort name | add p = prev(id) | cols id,p", ["id,p", "2,2", "5,2", "4,5", "1,4", "3,1"]),
         ("# note\nselect id > 3 # more\n| cols id", ["id", "4", "5"]),
         ("graph hist z -b 2 -D", ["bin_lo,bin_hi,count", "1,20.5,4", "20.5,40,1"]),
     ],
