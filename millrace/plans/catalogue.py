@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..engine import Engine
 
@@ -132,8 +133,6 @@ S("fn_fragment", "lineitem", "fn over(col, n) { select col > n | agg k=count, to
 S("hist_data", "lineitem", "graph hist l_quantity -b 7 -D",
   "WITH b AS (SELECT min(l_quantity) lo, max(l_quantity) hi FROM lineitem), c AS (SELECT least(floor(((l_quantity / 2 - lo / 2) / (hi / 2 - lo / 2)) * 7), 6)::INT AS i, count(*) AS n FROM lineitem, b GROUP BY 1) SELECT CASE WHEN g = 0 THEN lo ELSE lo * (1 - g / 7.0::DOUBLE) + hi * (g / 7.0::DOUBLE) END AS bin_lo, CASE WHEN g = 6 THEN hi ELSE lo * (1 - (g + 1) / 7.0::DOUBLE) + hi * ((g + 1) / 7.0::DOUBLE) END AS bin_hi, coalesce(n, 0) AS count FROM range(7) t(g) CROSS JOIN b LEFT JOIN c ON c.i = g")
 S("bar_data", "orders", "agg n=count by o_orderpriority | graph bar o_orderpriority n -D", "SELECT o_orderpriority, count(*)::DOUBLE AS n FROM orders GROUP BY 1")
-S("spark_data", "events", "sort event_id | graph spark value -D -W 10",
-  "WITH r AS (SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS r, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT floor(((r + 1) * 10 - 1) / n::DOUBLE)::BIGINT + 1 AS bucket, avg(value) AS value FROM r GROUP BY 1")
 S("xy_data", "part", "select p_size > 45 | graph scatter p_partkey p_retailprice -D", "SELECT p_partkey, p_retailprice FROM part WHERE p_size > 45")
 S("heatmap_data", "lineitem", "graph heatmap l_linenumber l_quantity -b 4 -D",
   "WITH b AS (SELECT min(l_linenumber)::DOUBLE x0, max(l_linenumber)::DOUBLE x1, min(l_quantity) y0, max(l_quantity) y1 FROM lineitem), c AS (SELECT least(floor(((l_linenumber / 2.0::DOUBLE - x0 / 2) / (x1 / 2 - x0 / 2)) * 4), 3)::INT i, least(floor(((l_quantity / 2 - y0 / 2) / (y1 / 2 - y0 / 2)) * 4), 3)::INT j, count(*) n FROM lineitem, b GROUP BY 1, 2) SELECT CASE WHEN i = 0 THEN x0 ELSE x0 * (1 - i / 4.0::DOUBLE) + x1 * (i / 4.0::DOUBLE) END AS l_linenumber, CASE WHEN j = 0 THEN y0 ELSE y0 * (1 - j / 4.0::DOUBLE) + y1 * (j / 4.0::DOUBLE) END AS l_quantity, n AS count FROM c, b")
@@ -157,6 +156,19 @@ def _from_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).run(f"from {sf_dir}/nation.parquet, {sf_dir}/region.parquet on n_regionkey=r_regionkey | cols n_name,r_name").frame()
 
 
+def _spark_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means depend on the order of addition in their last digits, so they are rounded."""
+    df = Engine(spark).run("sort event_id | graph spark value -D -W 10", f"{sf_dir}/events.parquet").frame()
+    return df.withColumn("value", F.round("value", 6))
+
+
+_QUERIES["spark_data"] = _spark_data
+_SQL["spark_data"] = """
+WITH r AS (
+  SELECT value, row_number() OVER (ORDER BY event_id) - 1 AS r, count(*) OVER () AS n FROM events WHERE value IS NOT NULL
+)
+SELECT floor(((r + 1) * 10 - 1) / n::DOUBLE)::BIGINT + 1 AS bucket, round(avg(value), 6) AS value FROM r GROUP BY 1
+"""
 _QUERIES["from_single"], _SQL["from_single"] = _from_single, "SELECT n_name, n_nationkey FROM nation WHERE n_regionkey = 1"
 _QUERIES["from_joined"], _SQL["from_joined"] = _from_joined, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"
 
