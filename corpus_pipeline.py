@@ -12,18 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, near_copies, packing, pii, quality_rules
-from millrace.llm.common import documents, shared_path, staged, tokenizer_path
+from millrace.llm.common import documents, shared_path, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail go, then documents that fail; n_chars follows the text."""
-    judged = quality_rules.measure(docs.select(*COLUMNS)).select(
-        "doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"), "kept"
-    )
-    # written first: pushing the filter below the rules would evaluate them twice
-    return staged(judged, "pipeline-judged").filter("kept").select(*COLUMNS)
+    judged = quality_rules.measure(docs.select(*COLUMNS)).withColumn("n_chars", F.length("clean_text").cast("long"))
+    row = F.struct("doc_id", F.col("clean_text").alias("text"), "lang", "source", "n_chars", F.lit(True).alias("_kept"))
+    # a filter on the verdict would be pushed below the rules and evaluate them twice
+    return judged.select(F.inline_outer(F.when(F.col("kept"), F.array(row)))).filter("_kept").select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest id stays."""
     groups = near_copies.near_copies(docs.select("doc_id", "text"))
     gone = groups.filter("doc_id <> group_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
