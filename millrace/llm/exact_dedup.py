@@ -67,7 +67,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(
         *own, F.octet_length(text).alias("_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("_full")
     )
-    joined = rows.join(groups.drop("keep_repeats"), ["_bytes", "_full"], "left")
+    # hashing the narrow side spares the texts a sort
+    joined = rows.join(groups.drop("keep_repeats").hint("shuffle_hash"), ["_bytes", "_full"], "left")
     alone = F.col("group_size").isNull()
     return joined.select(
         *own,
