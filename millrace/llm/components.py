@@ -1,17 +1,58 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Every round is an aggregation and a join; the edge table is written to the shared
+First each block of at most ``BLOCK_EDGES`` edges is cut down to a spanning forest, so
+that a dense group counts with its nodes and not with its pairs.  Then every round is an aggregation and a join; the edge table is written to the shared
 folder after each, so that lineage stays short, and nothing but a count of changed
 edges reaches the driver.  Rounds grow with the logarithm of the graph's size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Edges that one task keeps in memory.
+BLOCK_EDGES = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges that join two trees, by union-find over blocks of edges."""
+    root: dict[int, int] = {}
+    seen = 0
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.get(top, top)) != top:
+            top = up
+        while x != top:
+            root[x], x = top, root.get(x, x)
+        return top
+
+    for batch in batches:
+        if seen > BLOCK_EDGES:
+            root.clear()
+            seen = 0
+        seen += batch.num_rows
+        keep = []
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            keep.append(x != y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components."""
+    edges = staged(edges.select("a", "b"), "cc-edges")
+    blocks = -(-edges.count() // BLOCK_EDGES)
+    return staged(edges.coalesce(max(1, blocks)).mapInArrow(_forest, "a long, b long"), "cc-forest")
+
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     """One star step over edges (a, b) with a < b.
@@ -35,7 +76,7 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of *edges* (a, b), a < b; component is the least node."""
-    current = edges.select("a", "b")
+    current = spanning_forest(edges)
     while True:
         after = staged(_stars(staged(_stars(current, True), "cc-large"), False), "cc-small")
         changed = after.exceptAll(current).limit(1).count() + current.exceptAll(after).limit(1).count()

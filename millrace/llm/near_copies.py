@@ -137,8 +137,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = staged(_candidates(nodes), "near-pairs")
 
     wanted = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-wanted")
-    texts = named.select("node", "_text", "_id").join(wanted, "node", "left_semi")
-    sets = texts.select("node", "_text").mapInArrow(_shingle_sets, "node long, set binary")
+    # hashing the narrow side spares the texts a sort
+    texts = named.select("node", "_text").join(wanted.hint("shuffle_hash"), "node", "left_semi")
+    sets = texts.mapInArrow(_shingle_sets, "node long, set binary")
     sets = staged(sets.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     links = staged(both.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long"), "near-links")
