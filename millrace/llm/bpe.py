@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_state
+from .common import staged, worker_state
 
 #: Words compiled into the lexicon at most; the rest is merged when met.
 LEXICON_WORDS = 50_000
@@ -273,7 +273,9 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
 def compile_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> str:
     """Compile the ``words`` most frequent words of all texts; returns the name under which workers find the file."""
-    top = word_counts(docs, path, text_col).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    # written first: the driver would otherwise merge a list of this length from every partition
+    top = word_counts(docs, path, text_col).orderBy(F.desc("n"), "word").limit(words).select("word")
+    top = staged(top, "lexicon-words").collect()
     vocabulary = Vocabulary(path)
     entries = sorted((r.word.encode("utf-8"), r.word) for r in top)
     compiled = Lexicon.compile((raw, vocabulary.merge(word)) for raw, word in entries)
