@@ -9,8 +9,9 @@ which is the index for the next batch: with ``history`` its runs take part in th
 so a new batch is deduplicated against all earlier ones without reading their texts.
 
 A fingerprint that many documents share takes one entry per run, as the other
-documents of the run are flagged where they are read.  Flagged places return to their
-texts in one join; there windows are fingerprinted anew, flagged ones are verified to
+documents of the run are flagged where they are read.  Flags travel as one blob for each
+bucket and slice of the documents, are gathered slice by slice to one row for each
+document, and return to their texts in one join; there windows are fingerprinted anew, flagged ones are verified to
 have the flagged fingerprints, and their words removed.
 
 Defined cases: a null text has no words; a text with fewer than ``WINDOW`` words
@@ -23,6 +24,7 @@ extra columns are ignored.  Very long texts make one larger run.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +39,14 @@ from .common import staged, text_or_empty
 
 WINDOW = 13
 #: Windows in one run, about (a run ends at a document's end).
-RUN_WINDOWS = 1_500_000
+RUN_WINDOWS = 1_000_000
 #: Windows that one bucket may hold, about: 24 bytes each in the merging task.
-BUCKET_WINDOWS = 4_000_000
+BUCKET_WINDOWS = 3_000_000
+#: Bytes of text whose flags are gathered in one task.
+SLICE_BYTES = 64 << 20
 #: Bytes of text for each word, to choose the number of buckets.
 _WORD_BYTES = 6
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 250_000
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -119,19 +123,37 @@ def _flags(doc: np.ndarray, place: np.ndarray, docs: np.ndarray) -> Iterator[tup
         yield int(docs[doc[a], 0]), int(docs[doc[a], 1]), place[a:b].tobytes()
 
 
-_RUN_SCHEMA = "bucket int, run binary, id long, text_hash long, places binary"
+def pack_flags(flags: Iterator[tuple[int, int, bytes]], slices: int) -> dict[int, bytes]:
+    """Flags as one blob for each slice of the documents: records of id, text hash, size, places."""
+    out: dict[int, list[bytes]] = {}
+    for i, t, places in flags:
+        record = struct.pack("<qqi", i, t, len(places)) + places
+        out.setdefault((i * _ODD >> 20) % slices, []).append(record)
+    return {k: zstandard.ZstdCompressor(level=1).compress(b"".join(v)) for k, v in out.items()}
 
 
-def runs(rows: DataFrame, buckets: int) -> DataFrame:
+def open_flags(blob: bytes) -> Iterator[tuple[int, int, bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    at = 0
+    while at < len(raw):
+        i, t, n = struct.unpack_from("<qqi", raw, at)
+        yield i, t, raw[at + 20 : at + 20 + n]
+        at += 20 + n
+
+
+_RUN_SCHEMA = "bucket int, run binary, slice int, flags binary"
+
+
+def runs(rows: DataFrame, buckets: int, slices: int) -> DataFrame:
     """Runs of (id, text_hash, text) rows, cut into buckets, and what is flagged within a run.
 
-    Rows are either a run (bucket, run) or flags (bucket, id, text_hash, places).
+    Rows are either a run (bucket, run) or flags of a slice (bucket, slice, flags).
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pending, ids, count = _WordHashes(), [], [], 0
         names = [x.split()[0] for x in _RUN_SCHEMA.split(", ")]
-        types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+        types = [pa.int32(), pa.binary(), pa.int32(), pa.binary()]
 
         def flush() -> pa.RecordBatch:
             docs = np.array(ids, np.int64).reshape(-1, 2)
@@ -147,17 +169,16 @@ def runs(rows: DataFrame, buckets: int) -> DataFrame:
             late = docs[doc, 0] > owner
             # rows that share the smallest id each keep their entry
             head |= np.r_[True, doc[1:] != doc[:-1]][: len(h)] & ~late
-            out = []
-            for number, (i, t, places) in enumerate(_flags(doc[late], place[late], docs)):
-                out.append((number % buckets, None, i, t, places))
+            found = pack_flags(_flags(doc[late], place[late], docs), slices)
+            out = [(k % buckets, None, k, blob) for k, blob in found.items()]
             h, doc, place = h[head], doc[head], place[head]
             edges = np.searchsorted(h, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64))
             for b, (x, y) in enumerate(zip(edges, np.r_[edges[1:], len(h)], strict=True)):
                 if y > x:
-                    out.append((b, pack_run(h[x:y], doc[x:y], place[x:y], docs), None, None, None))
+                    out.append((b, pack_run(h[x:y], doc[x:y], place[x:y], docs), None, None))
             pending.clear()
             ids.clear()
-            columns = zip(*out, strict=True) if out else [[]] * 5
+            columns = zip(*out, strict=True) if out else [[]] * 4
             arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, names)
 
@@ -204,30 +225,41 @@ def merge_bucket(blobs: list[bytes]) -> tuple[list[tuple[int, int, bytes]], tupl
     return flags, (h[keep], doc[keep], place[keep], docs)
 
 
-def flagged_places(made: DataFrame, index: bool = False) -> DataFrame:
-    """Merge all runs by bucket: flags (id, text_hash, places), or the compacted ``index`` (bucket, run)."""
+def _compact(table: pa.Table) -> pa.Table:
+    bucket, blobs = table.column("bucket")[0].as_py(), table.column("run").drop_null().to_pylist()
+    _, compact = merge_bucket(blobs)
+    run = [pack_run(*compact)] if compact is not None else []
+    return pa.table({"bucket": pa.array([bucket] * len(run), pa.int32()), "run": pa.array(run, pa.binary())})
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """All flags of a slice: one row for each text."""
+    found: dict[tuple[int, int], list[bytes]] = {}
+    for blob in table.column("flags"):
+        for i, t, places in open_flags(blob.as_py()):
+            found.setdefault((i, t), []).append(places)
+    ids, hashes = ([k[n] for k in found] for n in (0, 1))
+    columns = [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([b"".join(v) for v in found.values()], pa.binary())]
+    return pa.table(columns, names=["id", "text_hash", "places"])
+
+
+def flagged_places(made: DataFrame, slices: int) -> DataFrame:
+    """Merge all runs by bucket and gather their flags: (id, text_hash, places)."""
 
     def merge(table: pa.Table) -> pa.Table:
         blobs = table.column("run").drop_null().to_pylist()
-        passed = table.filter(pa.compute.is_valid(table.column("id"))).select(["id", "text_hash", "places"])
-        bucket = table.column("bucket")[0].as_py()
+        passed = table.filter(pa.compute.is_valid(table.column("flags"))).select(["slice", "flags"])
         del table
-        flags, compact = merge_bucket(blobs)
-        if index:
-            run = [pack_run(*compact)] if compact is not None else []
-            return pa.table({"bucket": pa.array([bucket] * len(run), pa.int32()), "run": pa.array(run, pa.binary())})
-        columns = zip(*flags, strict=True) if flags else [[]] * 3
-        types = (pa.int64(), pa.int64(), pa.binary())
-        arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
-        return pa.concat_tables([passed, pa.table(arrays, names=["id", "text_hash", "places"])])
+        found = pack_flags(merge_bucket(blobs)[0], slices)
+        columns = [pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.binary())]
+        return pa.concat_tables([passed, pa.table(columns, names=["slice", "flags"])])
 
-    schema = "bucket int, run binary" if index else "id long, text_hash long, places binary"
-    return made.groupBy("bucket").applyInArrow(merge, schema)
+    flags = made.groupBy("bucket").applyInArrow(merge, "slice int, flags binary")
+    return flags.groupBy("slice").applyInArrow(_gather, "id long, text_hash long, places binary")
 
 
-def _bucket_count(docs: DataFrame, text_col: str) -> int:
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    return max(8, -(-total // (_WORD_BYTES * BUCKET_WINDOWS)))
+def _text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
 
 
 def substring_dedup(
@@ -243,16 +275,18 @@ def substring_dedup(
     ``history`` is an index (bucket, run) of earlier batches from :func:`compacted_index`,
     made with the same ``buckets``; documents of a batch must not be smaller than those in it.
     """
-    buckets = buckets or _bucket_count(docs, text_col)
+    size = _text_bytes(docs, text_col)
+    buckets = buckets or max(8, -(-size // (_WORD_BYTES * BUCKET_WINDOWS)))
+    slices = max(8, -(-size // SLICE_BYTES))
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    made = runs(rows.filter("id IS NOT NULL"), buckets)
+    made = runs(rows.filter("id IS NOT NULL"), buckets, slices)
     if history is not None:
-        none = [F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("text_hash", "long"), ("places", "binary"))]
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("slice", "int"), ("flags", "binary"))]
         made = made.unionByName(history.select("bucket", "run", *none))
-    flags = staged(flagged_places(made), "substring-flags")
-    flags = flags.groupBy("id", "text_hash").agg(F.collect_list("places").alias("places"))
-    joined = rows.join(flags, ["id", "text_hash"], "left")
+    flags = staged(flagged_places(made, slices), "substring-flags")
+    # hashing the narrow side spares the texts a sort
+    joined = rows.join(flags.hint("shuffle_hash"), ["id", "text_hash"], "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +295,7 @@ def substring_dedup(
                 words = text.as_py().encode("utf-8", "surrogatepass").split()
                 gone = np.zeros(len(words) + 1, np.int32)
                 if places.is_valid:
-                    at = np.concatenate([np.frombuffer(p, np.uint32) for p in places.as_py()]).astype(np.int64)
+                    at = np.frombuffer(places.as_py(), np.uint32).astype(np.int64)
                     at = _with_repeats(words, at)
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + WINDOW, -1)
@@ -293,8 +327,7 @@ def compacted_index(
     """The index (bucket, run) of *docs* merged with *history*: one run for each bucket."""
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    made = runs(rows.filter("id IS NOT NULL"), buckets).filter("run IS NOT NULL").select("bucket", "run")
+    made = runs(rows.filter("id IS NOT NULL"), buckets, 1).filter("run IS NOT NULL").select("bucket", "run")
     if history is not None:
         made = made.unionByName(history.select("bucket", "run"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("text_hash", "long"), ("places", "binary"))]
-    return staged(flagged_places(made.select("bucket", "run", *none), index=True), "substring-index")
+    return staged(made.groupBy("bucket").applyInArrow(_compact, "bucket int, run binary"), "substring-index")
