@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,18 +31,29 @@ def text_or_empty(column: str = "text") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is one made below the
+    Only where the session names none (tests, a laptop) is it a folder of the
     warehouse, which is shared by definition.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_millrace"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_millrace").rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what it holds goes when the driver ends."""
+    root = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+_ROOTS: set[str] = set()
+
+
+def _remove(root: str) -> None:
+    """Remove a folder that the driver can reach; in other stores the cluster's own rules apply."""
+    if root.startswith(("file:", "/")):
+        shutil.rmtree(re.sub("^file:/*", "/", root), ignore_errors=True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
