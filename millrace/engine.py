@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .functions.evaluate import Scope, condition
 from .operators import charts, joins, stages
@@ -178,6 +177,3 @@ def painted(out: Output) -> list[tuple[dict[str, Any], Column]]:
         except ScriptError:
             continue
     return found
-
-
-__all__ = ["Engine", "F", "Output", "painted"]

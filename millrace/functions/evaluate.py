@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.errors import ScriptError
 from ..plans.expr import Node
 from ..plans.relation import Relation
-from .values import MATH, Value, extreme, ieee, parsed, power, trimmed
+from .values import MATH, Value, extreme, ieee, power, trimmed
 
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
     "==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge,
@@ -244,6 +244,3 @@ def _numeric(op: str, left: Value, right: Value) -> Column:
     if left.kind in plain or right.kind in plain:
         return _COMPARE[op](x, y)
     return ieee(_COMPARE[op], x, y, op == "!=")
-
-
-__all__ = ["Scope", "condition", "evaluate", "parsed", "reads_prev", "static_type"]
