@@ -9,10 +9,10 @@ its ball of radius 1.  Up to 15 differing bits are found for certain (one of eig
 segments has at most one), more with growing odds of a miss; every candidate is then
 verified on the exact shingle sets of the whole texts.
 
-Large groups: texts that share an exact segment are first tied to the group's earliest
-text if their fingerprints are within ``TIGHT_BITS``, and the ball join only compares
-texts that are not tied already, so a large group of copies makes links in proportion
-to its size and not to its square.
+Large groups: texts that share an exact segment are first compared with the earliest
+text that has it, and the ball join then only pairs texts whose verified links have not
+brought them together already, so most of a large group of copies makes links in
+proportion to its size and not to its square.
 
 Defined cases: a null text counts as the empty text; equal texts (by 64-bit hash of
 the text) are one class; texts of fewer than five words have one shingle, the whole
@@ -36,7 +36,8 @@ from .components import connected_components
 SIMILARITY = 0.8
 SHINGLE = 5
 SEGMENTS = 8
-TIGHT_BITS = 8
+#: Texts tied through an exact segment differ in at most so many bits.
+TIE_BITS = 64
 _CACHED_WORDS = 200_000
 _SLAB = 1 << 15
 _PARTS = ["f0", "f1", "f2", "f3"]
@@ -105,25 +106,42 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("key", F.explode(F.array(*halves)))
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes whose texts may be near copies."""
+def _ties(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes with the earliest node that shares a whole segment."""
     keys = _keys(nodes)
     first = keys.groupBy("key").agg(
         F.min(F.struct("first_id", "node", *_PARTS)).alias("top"), F.count(F.lit(1)).alias("n")
     )
-    first = staged(first.filter("n > 1").select("key", "top.*").toDF("key", "id0", "head", *(f"g{i}" for i in range(4))), "near-heads")
-    apart = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"g{i}"))) for i in range(1, 4)), F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))))
-    tied = keys.join(first, "key").filter((F.col("node") != F.col("head")) & (apart <= TIGHT_BITS))
-    tied = staged(tied.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "near-tied")
+    names = ["key", "id0", "head", *(f"g{i}" for i in range(4))]
+    first = staged(first.filter("n > 1").select("key", "top.*").toDF(*names), "near-heads")
+    apart = [F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"g{i}"))) for i in range(4)]
+    close = apart[0] + apart[1] + apart[2] + apart[3] <= TIE_BITS
+    tied = keys.join(first, "key").filter((F.col("node") != F.col("head")) & close)
+    return tied.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
-    group = connected_components(tied)
+
+def _meetings(nodes: DataFrame, group: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of different groups that meet in a ball."""
     grouped = nodes.join(group, "node", "left").select("node", F.coalesce("component", "node").alias("group"), *_PARTS)
     index = _keys(staged(grouped, "near-grouped")).select("node", "group", "key")
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << bit).cast("long") for bit in range(32)))
-    ball = index.select(F.col("node").alias("b"), F.col("group").alias("group_b"), F.explode(flips).alias("flip"), F.col("key").alias("own"))
-    ball = ball.select("b", "group_b", F.col("own").bitwiseXOR(F.col("flip")).alias("key"))
+    ball = index.select(
+        F.col("node").alias("b"), F.col("group").alias("group_b"), F.explode(flips).alias("flip"), F.col("key").alias("own")
+    ).select("b", "group_b", F.col("own").bitwiseXOR(F.col("flip")).alias("key"))
     met = index.join(ball, "key").filter((F.col("node") < F.col("b")) & (F.col("group") != F.col("group_b")))
-    return tied.union(met.select(F.col("node").alias("a"), "b")).distinct()
+    return met.select(F.col("node").alias("a"), "b").distinct()
+
+
+def _verified(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets are similar enough."""
+    pairs = staged(pairs, "near-pairs")
+    wanted = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-wanted")
+    # hashing the narrow side spares the texts a sort
+    texts = named.select("node", "_text").join(wanted.hint("shuffle_hash"), "node", "left_semi")
+    sets = texts.mapInArrow(_shingle_sets, "node long, set binary")
+    sets = staged(sets.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    return staged(both.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long"), "near-links")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,17 +152,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = staged(named.mapInArrow(_fingerprints, f"_id {kind}, node long, f0 long, f1 long, f2 long, f3 long"), "near-rows")
     nodes = rows.groupBy("node", *_PARTS).agg(F.min("_id").alias("first_id"))
     nodes = staged(nodes, "near-nodes")
-    pairs = staged(_candidates(nodes), "near-pairs")
-
-    wanted = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-wanted")
-    # hashing the narrow side spares the texts a sort
-    texts = named.select("node", "_text").join(wanted.hint("shuffle_hash"), "node", "left_semi")
-    sets = texts.mapInArrow(_shingle_sets, "node long, set binary")
-    sets = staged(sets.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    links = staged(both.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long"), "near-links")
-
-    group = connected_components(links)
+    tied = _verified(_ties(nodes), named)
+    met = _verified(_meetings(nodes, connected_components(tied)), named)
+    group = connected_components(tied.union(met))
     labelled = nodes.join(group, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root"))
     labelled = staged(labelled, "near-roots")
     least = staged(labelled.groupBy("root").agg(F.min("first_id").alias("group_id")), "near-least")
