@@ -1,18 +1,19 @@
-"""Near copies at a Jaccard similarity of word shingles, found by wide SimHash.
+"""Near copies at a Jaccard similarity of word shingles, by prefix-filtered shingle sets.
 
 The pipeline's near-duplicate stage: five-word shingles (A-Z lower-cased) and a
-similarity of 0.8.  At that similarity a 64-bit shingle fingerprint differs in some
-nine bits, beyond what small Hamming balls can reach; so candidates come from a 256-bit
-SimHash over a text's distinct words, of which such pairs differ in 25 bits or so.
-Multi-index hashing as in :mod:`simhash`: eight 32-bit segments, each looked up under
-its ball of radius 1.  Up to 15 differing bits are found for certain (one of eight
-segments has at most one), more with growing odds of a miss; every candidate is then
-verified on the exact shingle sets of the whole texts.
-
-Large groups: texts that share an exact segment are first compared with the earliest
-text that has it, and the ball join then only pairs texts whose verified links have not
-brought them together already, so most of a large group of copies makes links in
-proportion to its size and not to its square.
+similarity of 0.8.  Candidates are certain, not likely: two sets of at least that
+similarity share an element of the first n - ceil(0.8 n) + 1 of each, in whatever order
+all sets are put.  The order here is by hash, with shingles that a sample of the texts
+shows to be frequent behind all others, so that the prefixes hold few of them; which
+shingles are sampled decides about speed only.  A pair that meets in a prefix must pass
+three bounds that no similar pair fails: on its lengths, on what is left behind the
+place where it meets, and on the bits in which 512-bit parities of the sets differ (no
+more than the elements in which the sets do).  What is left is verified on the exact
+shingle sets of the whole texts.
+
+Large groups: the texts of a prefix element are first compared with one of them, a few
+times over, and then only texts whose verified links have not brought them together
+already are paired.
 
 Defined cases: a null text counts as the empty text; equal texts (by 64-bit hash of
 the text) are one class; texts of fewer than five words have one shingle, the whole
@@ -33,57 +34,107 @@ from pyspark.sql import functions as F
 from .common import staged, text_or_empty
 from .components import connected_components
 
-SIMILARITY = 0.8
+#: Similar sets have at least NEAR parts of OF of their union in common.
+NEAR, OF = 4, 5
 SHINGLE = 5
-SEGMENTS = 8
-#: Texts tied through an exact segment differ in at most so many bits.
-TIE_BITS = 64
+#: One text of so many is sampled; shingles found so often there are frequent, the
+#: most frequent at most so many (8 bytes each in every task).
+SAMPLE, OFTEN, MOST = 16, 3, 1_000_000
+#: Comparisons with one text for each prefix element, before all pairs are made.
+ROUNDS = 2
 _CACHED_WORDS = 200_000
-_SLAB = 1 << 15
-_PARTS = ["f0", "f1", "f2", "f3"]
+_PARITY = [f"p{i}" for i in range(8)]
+_MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
-class _Wide(dict):
-    def __missing__(self, word: bytes) -> bytes:
+class _Words(dict):
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= _CACHED_WORDS:
             self.clear()
-        found = self[word] = xxhash.xxh3_128_digest(word) + xxhash.xxh3_128_digest(word, 1)
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
 
 
-def wide_fingerprint(words: set[bytes], known: dict) -> np.ndarray:
-    """256 bits over distinct words, as four signed longs."""
-    ones, all_words = np.zeros(256, np.int64), list(words)
-    for at in range(0, len(all_words), _SLAB):
-        part = b"".join(map(known.__getitem__, all_words[at : at + _SLAB]))
-        ones += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 32), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(all_words)).view(np.int64)
-
-
-def shingle_hashes(text: str) -> np.ndarray:
+def shingle_hashes(text: str, known: dict | None = None) -> np.ndarray:
+    """The distinct shingles as sorted 64-bit hashes: sums of the words' hashes times odd numbers."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    count = max(1, len(words) - SHINGLE + 1)
-    join, digest = b" ".join, xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((digest(join(words[i : i + SHINGLE])) for i in range(count)), np.uint64, count))
+    count = len(words) - SHINGLE + 1
+    if count < 1:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), 1)], np.uint64)
+    known = _Words() if known is None else known
+    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    made = np.zeros(count, np.uint64)
+    for i in range(SHINGLE):
+        made += each[i : i + count] * np.uint64(_MIX[i])
+    return np.unique(made)
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The elements, in the common order, of which a similar set's prefix has one."""
+    late = np.isin(hashes, frequent, assume_unique=True)
+    return np.concatenate([hashes[~late], hashes[late]])[: len(hashes) - -(-NEAR * len(hashes) // OF) + 1]
+
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """512 bits, as eight signed longs; each element turns one over."""
+    bits = np.bincount((hashes >> np.uint64(32)).astype(np.int64) & 511, minlength=512) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Wide()
+
+def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Words()
     for batch in batches:
-        found = [
-            wide_fingerprint(set(t.as_py().encode("utf-8", "surrogatepass").lower().split()), known)
-            for t in batch.column("_text")
-        ]
-        table = np.array(found, np.int64).reshape(-1, 4)
-        columns = [batch.column("_id"), batch.column("node"), *(pa.array(table[:, i].copy()) for i in range(4))]
-        yield pa.RecordBatch.from_arrays(columns, ["_id", "node", *_PARTS])
+        sets = [shingle_hashes(t.as_py(), known) for t in batch.column("_text")]
+        found = np.concatenate([*sets, np.empty(0, np.uint64)])
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
+
+
+def _frequent(named: DataFrame) -> np.ndarray:
+    """Sorted hashes of frequent shingles; only these, MOST at most, reach the driver."""
+    sample = named.filter(F.pmod("node", F.lit(SAMPLE)) == 0).select("_text")
+    counts = sample.mapInArrow(_all_shingles, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counts = staged(counts.filter(F.col("n") >= OFTEN), "near-frequent")
+    # powers of two, so that the histogram has a few rows
+    sizes = counts.groupBy(F.floor(F.log2("n")).alias("level")).count().collect()
+    total, least = 0, None
+    for level, count in sorted(map(tuple, sizes), reverse=True):
+        total += count
+        if total > MOST:
+            break
+        least = level
+    if least is None:
+        return np.empty(0, np.uint64)
+    found = counts.filter(F.floor(F.log2("n")) >= least).select("key").toArrow().column(0).to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def _indexed(named: DataFrame) -> DataFrame:
+    """(node, n, parity, keys): each row's set size, parity and prefix."""
+    frequent = _frequent(named)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in batches:
+            sets = [shingle_hashes(t.as_py(), known) for t in batch.column("_text")]
+            parities = np.array([parity(s) for s in sets], np.int64).reshape(-1, len(_PARITY))
+            keys = [prefix(s, frequent) if len(s) else s for s in sets]
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            flat = np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64)
+            columns = [batch.column("node"), pa.array([len(s) for s in sets], pa.int32())]
+            columns += [pa.array(parities[:, i].copy()) for i in range(len(_PARITY))]
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", *_PARITY, "keys"])
+
+    longs = ", ".join(f"{p} long" for p in _PARITY)
+    return named.select("node", "_text").mapInArrow(run, f"node long, n int, {longs}, keys array<long>")
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Words()
     for batch in batches:
-        sets = [shingle_hashes(t.as_py()).tobytes() for t in batch.column("_text")]
+        sets = [shingle_hashes(t.as_py(), known).tobytes() for t in batch.column("_text")]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
 
@@ -93,48 +144,60 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
             x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
-            hold.append(both > 0 and both >= SIMILARITY * (len(x) + len(y) - both))
+            hold.append(both > 0 and OF * both >= NEAR * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(hold, pa.bool_()))
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
-    """(node, extra columns, key): a key is a segment's number and its 32 bits, in one long."""
-    halves = []
-    for i, part in enumerate(_PARTS):
-        low, high = F.col(part).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col(part), 32)
-        halves += [low.bitwiseOR(F.lit(2 * i << 32)), high.bitwiseOR(F.lit(2 * i + 1 << 32))]
-    return nodes.withColumn("key", F.explode(F.array(*halves)))
+def _postings(index: DataFrame) -> DataFrame:
+    """(key, node, n, left) of the prefix elements that two texts have; left: elements from there on."""
+    each = index.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    each = each.select("key", "node", "n", (F.col("n") - F.col("at")).alias("left"))
+    shared = each.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("key")
+    # hashing the narrow side spares the elements a sort
+    return each.join(staged(shared, "near-shared").hint("shuffle_hash"), "key", "left_semi").distinct()
+
+
+def _possible(n: str, left: str, m: str, right: str):
+    """The bounds on lengths and places, for sets of n and m elements that meet where left and right are left."""
+    lengths = OF * F.least(n, m) >= NEAR * F.greatest(n, m)
+    return lengths & ((NEAR + OF) * F.least(left, right) >= NEAR * (F.col(n) + F.col(m)))
 
 
-def _ties(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes with the earliest node that shares a whole segment."""
-    keys = _keys(nodes)
-    first = keys.groupBy("key").agg(
-        F.min(F.struct("first_id", "node", *_PARTS)).alias("top"), F.count(F.lit(1)).alias("n")
+def _ties(postings: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of different groups, one of them the turn's head of a common element."""
+    one = F.struct(F.xxhash64("node", F.lit(turn)), "node", "group", "n", "left")
+    heads = postings.groupBy("key").agg(F.min(one).alias("top")).select(
+        "key", F.col("top.node").alias("head"), F.col("top.group").alias("of"), F.col("top.n").alias("m"), F.col("top.left").alias("right")
     )
-    names = ["key", "id0", "head", *(f"g{i}" for i in range(4))]
-    first = staged(first.filter("n > 1").select("key", "top.*").toDF(*names), "near-heads")
-    apart = [F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"g{i}"))) for i in range(4)]
-    close = apart[0] + apart[1] + apart[2] + apart[3] <= TIE_BITS
-    tied = keys.join(first, "key").filter((F.col("node") != F.col("head")) & close)
-    return tied.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-
-
-def _meetings(nodes: DataFrame, group: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes of different groups that meet in a ball."""
-    grouped = nodes.join(group, "node", "left").select("node", F.coalesce("component", "node").alias("group"), *_PARTS)
-    index = _keys(staged(grouped, "near-grouped")).select("node", "group", "key")
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << bit).cast("long") for bit in range(32)))
-    ball = index.select(
-        F.col("node").alias("b"), F.col("group").alias("group_b"), F.explode(flips).alias("flip"), F.col("key").alias("own")
-    ).select("b", "group_b", F.col("own").bitwiseXOR(F.col("flip")).alias("key"))
-    met = index.join(ball, "key").filter((F.col("node") < F.col("b")) & (F.col("group") != F.col("group_b")))
-    return met.select(F.col("node").alias("a"), "b").distinct()
-
-
-def _verified(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    met = postings.join(staged(heads, "near-heads"), "key").filter(F.col("group") != F.col("of"))
+    met = met.filter(_possible("n", "left", "m", "right"))
+    return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
+def _meetings(postings: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of different groups that have a prefix element in common."""
+    other = postings.toDF("key", *(f"_{c}" for c in postings.columns[1:]))
+    met = postings.join(other, "key").filter((F.col("node") < F.col("_node")) & (F.col("group") != F.col("_group")))
+    met = met.filter(_possible("n", "left", "_n", "_left"))
+    return met.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
+
+
+def _grouped(postings: DataFrame, group: DataFrame) -> DataFrame:
+    found = postings.drop("group").join(group, "node", "left")
+    found = found.select("key", "node", "n", "left", F.coalesce("component", "node").alias("group"))
+    return staged(found, "near-grouped")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
     """The pairs whose shingle sets are similar enough."""
-    pairs = staged(pairs, "near-pairs")
+    names = ["n", *_PARITY]
+    sides = (nodes.toDF(k, *(f"{k}_{c}" for c in names)) for k in ("a", "b"))
+    apart, (x, y) = F.lit(0), sides
+    for p in _PARITY:
+        apart = apart + F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}")))
+    # similar sets differ in (OF - NEAR) of (OF + NEAR) parts of their elements at most
+    close = (OF + NEAR) * apart <= (OF - NEAR) * (F.col("a_n") + F.col("b_n"))
+    pairs = staged(staged(pairs, "near-met").join(x, "a").join(y, "b").filter(close).select("a", "b"), "near-pairs")
     wanted = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-wanted")
     # hashing the narrow side spares the texts a sort
     texts = named.select("node", "_text").join(wanted.hint("shuffle_hash"), "node", "left_semi")
@@ -148,15 +211,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, group_id): the smallest id of each row's group of near copies."""
     text = text_or_empty(text_col)
     named = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("node"), text.alias("_text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = staged(named.mapInArrow(_fingerprints, f"_id {kind}, node long, f0 long, f1 long, f2 long, f3 long"), "near-rows")
-    nodes = rows.groupBy("node", *_PARTS).agg(F.min("_id").alias("first_id"))
-    nodes = staged(nodes, "near-nodes")
-    tied = _verified(_ties(nodes), named)
-    met = _verified(_meetings(nodes, connected_components(tied)), named)
-    group = connected_components(tied.union(met))
-    labelled = nodes.join(group, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root"))
+    rows = staged(named.select("_id", "node"), "near-rows")
+    ids = staged(rows.groupBy("node").agg(F.min("_id").alias("first_id")), "near-nodes")
+    index = staged(_indexed(named), "near-index")
+    nodes = staged(index.select("node", "n", *_PARITY).distinct(), "near-parities")
+    postings = staged(_postings(index).withColumn("group", F.col("node")), "near-postings")
+    links = None
+    for turn in range(ROUNDS):
+        found = _verified(_ties(postings, turn), nodes, named)
+        links = found if links is None else links.union(found)
+        postings = _grouped(postings, connected_components(links))
+    group = connected_components(links.union(_verified(_meetings(postings), nodes, named)))
+    labelled = ids.join(group, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root"))
     labelled = staged(labelled, "near-roots")
     least = staged(labelled.groupBy("root").agg(F.min("first_id").alias("group_id")), "near-least")
     labels = staged(labelled.join(least, "root").select("node", "group_id"), "near-labels")
-    return rows.select("_id", "node").join(labels, "node").select(F.col("_id").alias(id_col), "group_id")
+    return rows.join(labels, "node").select(F.col("_id").alias(id_col), "group_id")

@@ -287,3 +287,29 @@ def test_classifier(spark, empty):
     untrained = quality_nb.train(docs, labels.filter("doc_id < 0"))
     assert {r.score for r in quality_nb.score(docs, untrained).collect()} == {0.5}
     assert quality_nb.score(empty, untrained).count() == 0
+
+
+def _jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_finds_every_pair(spark):
+    rng = np.random.default_rng(3)
+    odds = 1 / np.arange(1, 5001)
+    draw = lambda n: [f"w{k}" for k in rng.choice(5000, n, p=odds / odds.sum())]
+    rows, want = [], {}
+    for k in range(240):
+        base = draw(int(rng.integers(100, 800)))
+        part = int(len(base) * rng.uniform(0.05, 0.25))
+        at = int(rng.integers(0, len(base) - part))
+        copy = (base + draw(part), base[part:], base[:at] + draw(part) + base[at + part :])[k % 3]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (_jaccard(base, copy) < 0.8)}
+    # a group of which no member is like all others: a window sliding over one text
+    chain = draw(1400)
+    rows += [(1000 + k, " ".join(chain[20 * k : 20 * k + 400])) for k in range(40)]
+    want |= {1000 + k: 1000 for k in range(40)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.group_id for r in near_copies.near_copies(df).collect()} == want
+    assert 60 < sum(i != g for i, g in want.items() if i < 1000) < 200
