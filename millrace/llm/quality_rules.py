@@ -21,7 +21,7 @@ from .common import WORD_GAP, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A document is rejected when more than this percentage of its characters goes.
+#: A document is rejected when more than this percentage of its word characters goes.
 MAX_LOST_PERCENT = 40
 
 # Classes of single characters, for counting.
@@ -29,10 +29,11 @@ _SYMBOLS = r"[#*$%&|<>]"
 _SEPARATORS = r"[|»›·•]"
 _PUNCTUATION = r"[!?;:=/\\_~^+\"`@.,()\[\]{}#*$%&|<>-]"
 _HAS_WORD = r"[^\x20\x09-\x0D]"
+_GAP = r"[\x20\x09-\x0D]"
 #: Lines with fewer words are headings or labels when they lack final punctuation.
 SHORT_LINE = 4
-#: Page furniture comes in lines of at most so many characters.
-FURNITURE_CHARS = 200
+#: Boilerplate comes in lines of at most so many words.
+FURNITURE_WORDS = 30
 
 # Wordings of page furniture, matched on lower-cased lines.
 _NAVIGATION = r"^(home|menu|log ?in|sign ?(in|up)|next( page)?|previous( page)?|back to top|skip to (main )?content|read more|share (this|on) .*|search|contact( us)?|about( us)?)\W*$"
@@ -43,6 +44,11 @@ def _count(text: Column, kind: str) -> Column:
     return F.regexp_count(text, F.lit(kind))
 
 
+def _chars(text: Column) -> Column:
+    """Characters that are not white space."""
+    return F.length(text) - _count(text, _GAP)
+
+
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, WORD_GAP), "")
 
@@ -54,13 +60,17 @@ def _let(value: Column, body) -> Column:
 
 def line_fails(line: Column) -> Column:
     """True for a line that has words and breaks a rule; cheap tests come first."""
-    low, size, words = F.lower(F.trim(line)), F.length(line), F.size(_words(line))
-    short = size <= FURNITURE_CHARS
-    no_end = short & ~line.rlike("[.!?…:;。！？][\"'”’»)\\]]*\\s*$") & (words < SHORT_LINE)
-    navigation = _let(_count(line, _SEPARATORS), lambda n: (n >= 3) & (n * 5 > words))
-    furniture = short & (low.rlike(_NAVIGATION) | low.rlike(_BOILERPLATE))
-    odd = (_count(line, _PUNCTUATION) * 5 > size) & (words > SHORT_LINE) | (_count(line, _SYMBOLS) * 10 > size)
-    return line.rlike(_HAS_WORD) & (no_end | furniture | navigation | odd)
+    low = F.lower(F.trim(line))
+
+    def breaks(sizes: Column) -> Column:
+        words, chars = sizes["words"], sizes["chars"]
+        no_end = (words < SHORT_LINE) & ~line.rlike("[.!?…:;。！？][\"'”’»)\\]]*\\s*$")
+        navigation = _let(_count(line, _SEPARATORS), lambda n: (n >= 3) & (n * 5 > words)) | low.rlike(_NAVIGATION)
+        boilerplate = (words <= FURNITURE_WORDS) & low.rlike(_BOILERPLATE)
+        odd = (words > SHORT_LINE) & (_count(line, _PUNCTUATION) * 4 > chars) | (_count(line, _SYMBOLS) * 10 > chars)
+        return (chars > 0) & (no_end | navigation | boilerplate | odd)
+
+    return _let(F.struct(F.size(_words(line)).alias("words"), _chars(line).alias("chars")), breaks)
 
 
 def _n_repeat_words(words: Column) -> Column:
@@ -131,7 +141,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "*",
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
         clean.alias("clean_text"),
-        (F.length(clean) * 100 < F.length("_text") * (100 - MAX_LOST_PERCENT)).alias("_lost"),
+        (_chars(clean) * 100 < F.col("word_chars") * (100 - MAX_LOST_PERCENT)).alias("_lost"),
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias(
             "base_failed"
         ),

@@ -313,3 +313,18 @@ def test_near_copies_finds_every_pair(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {r.doc_id: r.group_id for r in near_copies.near_copies(df).collect()} == want
     assert 60 < sum(i != g for i, g in want.items() if i < 1000) < 200
+
+
+def test_rules_long_lines_of_few_words(spark):
+    prose = [f"Plain{i} sentence{i} number{i} of a clean{i} document, made{i} of other{i} words{i}." for i in range(8)]
+    blobs = ["0123456789abcdef" * 125 for _ in range(3)]
+    # a fifth to a quarter of the characters are punctuation: kept; long boilerplate of few words: not
+    marks = " ".join("abc," for _ in range(12)) + " done."
+    legal = "All rights reserved " + " ".join("x" * 20 for _ in range(12)) + "."
+    rows = [(1, prose + blobs), (2, [*prose, marks]), (3, [*prose, legal]), (4, [*prose, " ".join(["ab$cdefg"] * 8) + "."])]
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.measure(df).collect()}
+    whole = "\n".join(prose)
+    assert [got[i].kept for i in (1, 2, 3, 4)] == [False, True, True, True]
+    assert [got[i].clean_text for i in (1, 3, 4)] == [whole] * 3
+    assert got[2].clean_text == f"{whole}\n{marks}"
