@@ -204,6 +204,10 @@ KINDS: tuple[tuple[str, str, Callable[[Permutation, re.Match], str | None]], ...
     ("card", r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)", _card),
 )
 
+#: Kinds that may swallow what follows: where the longest match does not validate,
+#: shorter ones that end before a separator are tried.
+SHORTENED = {"iban", "card"}
+
 #: A text without these has nothing to find.
 _HINT = re.compile(r"\d|@")
 
@@ -224,6 +228,17 @@ class Pseudonyms:
             self.known[at] = self.makers[kind][1](self.permutation, m)
         return self.known[at]
 
+    def _find(self, kind: str, text: str, start: int) -> tuple[int, str] | None:
+        """The end and the pseudonym of the longest valid match of *kind* at *start*."""
+        pattern = self.makers[kind][0]
+        m = pattern.match(text, start)
+        while m:
+            if (new := self._make(kind, m)) is not None:
+                return m.end(), new
+            cut = max(text.rfind(gap, start, m.end()) for gap in " -") if kind in SHORTENED else -1
+            m = pattern.match(text, start, cut) if cut > start else None
+        return None
+
     def replace(self, text: str) -> tuple[str, list[str]]:
         """The text with pseudonyms, and the kinds found in order."""
         if not _HINT.search(text):
@@ -231,11 +246,11 @@ class Pseudonyms:
         out, kinds, done, at, search = [], [], 0, 0, self.candidate.search
         while c := search(text, at):
             start = c.start()
-            for kind, (pattern, _) in self.makers.items():
-                if (m := pattern.match(text, start)) and (new := self._make(kind, m)) is not None:
-                    out += [text[done:start], new]
+            for kind in self.makers:
+                if found := self._find(kind, text, start):
+                    out += [text[done:start], found[1]]
                     kinds.append(kind)
-                    done = at = m.end()
+                    done = at = found[0]
                     break
             else:
                 # no kind begins here: go on behind a run of digits, or one character on

@@ -328,3 +328,25 @@ def test_rules_long_lines_of_few_words(spark):
     assert [got[i].kept for i in (1, 2, 3, 4)] == [False, True, True, True]
     assert [got[i].clean_text for i in (1, 3, 4)] == [whole] * 3
     assert got[2].clean_text == f"{whole}\n{marks}"
+
+
+@pytest.mark.parametrize(
+    ("text", "value", "kind"),
+    [
+        ("exp 4111 1111 1111 1111 12/27", "4111 1111 1111 1111", "card"),
+        ("code 4111111111111111 123", "4111111111111111", "card"),
+        ("pay 4111111111111111 5 times", "4111111111111111", "card"),
+        ("no 4111-1111-1111-1111-123.", "4111-1111-1111-1111", "card"),
+        ("to ES9121000418450200051332 BIC CAIXESBB", "ES9121000418450200051332", "iban"),
+        ("to ES91 2100 0418 4502 0005 1332 BIC", "ES91 2100 0418 4502 0005 1332", "iban"),
+        ("to AT611904300234573201 EUR 50", "AT611904300234573201", "iban"),
+    ],
+)
+def test_pii_with_more_behind_it(text, value, kind):
+    new, kinds = pii.Pseudonyms().replace(text)
+    head, tail = text.split(value)
+    assert kinds == [kind] and new.startswith(head) and new.endswith(tail) and len(new) == len(text)
+    made = re.sub(r"[ -]", "", new[len(head) : len(new) - len(tail)])
+    assert made != re.sub(r"[ -]", "", value)
+    assert pii.iban_holds(made) if kind == "iban" else pii.luhn_digit(made[:-1]) == made[-1]
+    assert pii.Pseudonyms().replace("not 4111 1111 1111 1112 12/27")[1] == []
