@@ -152,9 +152,9 @@ class Engine:
             if verb == "join":
                 rel = self._join(rel, args)
             elif verb == "agg":
-                rel = stages.agg(stages.ascending(rel) if args["keys"] else rel, args)
+                rel = stages.agg(rel, args)
             elif verb == "uniq":
-                rel = stages.uniq(stages.ascending(rel), args)
+                rel = stages.uniq(rel, args)
             elif verb == "graph":
                 if i + 1 < len(todo) and any(s.verb not in ("color", "fmt") for s in todo[i + 1 :]):
                     raise ScriptError("graph must be the last stage")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import operator
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.errors import ScriptError
 from ..plans.expr import Node
 from ..plans.relation import Relation
+from .patterns import jvm_pattern
 from .values import MATH, Value, extreme, ieee, power, trimmed
 
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
@@ -82,7 +82,7 @@ def evaluate(scope: Scope, node: Node) -> Value:
             return Value("text", F.concat(left.text(), right.text()), "Str")
         x, y = left.number(), right.number()
         if node.value in "/%":
-            zero = F.raise_error(F.lit("division by zero in expression")).cast("double")
+            zero = F.raise_error(F.lit("stopped by a division by zero")).cast("double")
             safe = F.when(y == 0, zero).otherwise(y)
             return Value("num", x / safe if node.value == "/" else x % safe, "Num")
         return Value("num", {"+": operator.add, "-": operator.sub, "*": operator.mul}[node.value](x, y), "Num")
@@ -171,9 +171,7 @@ def _match(scope: Scope, node: Node) -> Column:
     text, pattern = evaluate(scope, node.args[0]).text(), node.args[1].value
     op = node.value
     if op in ("=~", "!~"):
-        if re.search(r"\(\?<?[=!]|\\[1-9]", pattern):
-            raise ScriptError("patterns have no look-around and no back-references")
-        found = text.rlike(pattern)
+        found = text.rlike(jvm_pattern(pattern))
         return found if op == "=~" else ~found
     return {"^=": text.startswith, "*=": text.contains, "$=": text.endswith}[op](pattern)
 
@@ -195,8 +193,8 @@ def _compare(scope: Scope, node: Node) -> Column:
     numbers = {"num", "int"}
     if "Str" in types or equality:
         scope.modes.append(f"{op} text")
-        if left.kind in numbers and right.kind in numbers and "Str" not in types:
-            same = left.optional().eqNullSafe(right.optional())
+        if left.kind == right.kind == "int" and "Str" not in types:
+            same = left.column.eqNullSafe(right.column)
             return same if op == "==" else ~same
         return compare(left.text(), right.text())
     scope.modes.append(f"{op} auto")
@@ -238,9 +236,10 @@ def _against_literal(op: str, value: Value, literal: float) -> Column:
 
 
 def _numeric(op: str, left: Value, right: Value) -> Column:
-    """Numeric comparison; integers and literals need no NaN guards, so filters reach the scan."""
+    """Numeric comparison: with NaN, which integers have not, nothing holds but '!='."""
     x, y = left.number(), right.number()
-    plain = {"int"}
-    if left.kind in plain or right.kind in plain:
+    nan = [F.isnan(c) for v, c in ((left, x), (right, y)) if v.kind != "int"]
+    if not nan:
         return _COMPARE[op](x, y)
-    return ieee(_COMPARE[op], x, y, op == "!=")
+    either = nan[0] if len(nan) == 1 else nan[0] | nan[1]
+    return F.when(either, F.lit(op == "!=")).otherwise(_COMPARE[op](x, y))

@@ -85,7 +85,8 @@ def join(left: Relation, right: Relation, on: list[str], how: str, left_suffix:
     if how in ("right", "full"):  # right rows without a partner come last
         order = [(met, False), *order]
         df = df.withColumn(met, F.coalesce(F.col(met), F.lit(False)))
-    return Relation(df, fields, order)
+        return Relation(df, fields, order)
+    return Relation(df, fields, order, buckets=left.buckets)
 
 
 def as_text(rel: Relation) -> Relation:

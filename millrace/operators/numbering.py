@@ -1,108 +1,132 @@
 """Row numbers and the row before, in the row order.
 
-A window over all rows would put them into one task.  Instead rows are cut into
-buckets at quantiles of the leading order column; numbers count inside a bucket and
-start at the rows of the buckets before, of which there are few.  Only bucket sizes
-and each bucket's last row cross buckets.
+A window over all rows would put them into one task.  Rows are cut into buckets that
+follow each other in the order instead.  Where the order still is that of the scan, a
+bucket is a piece of a file, known without a look at the rows.  After a sort the rows
+are range-partitioned by the whole order and written to the shared folder, so that the
+partitions stay what they are; those are the buckets then.  Windows run inside a bucket;
+what crosses its edges (row counts, last rows, nearest matches) is one row a bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.relation import Relation, fresh
+from ..sources.shared import staged
 
-#: Buckets, which also is the number of rows of the tables that cross them.
-BUCKETS = 64
-_TIMES = {"date", "timestamp", "timestamp_ntz"}
-_NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+_IN_TASK = (1 << 33) - 1
+#: Rows of a file in one piece of a place that is made of a rank and a row.
+_RANK_SHIFT = 44
+_CHUNK_BITS = 20
 
 
-def _along(column: str, kind: str) -> Column | None:
-    """A number that rises (not strictly) with a column, or None."""
-    c = F.col(column)
-    if kind in _NUMBERS or kind == "boolean":
-        return c.cast("double") if kind != "boolean" else c.cast("int").cast("double")
-    if kind in _TIMES:
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if kind == "string":  # the first six bytes
-        start = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
-        return F.conv(start, 16, 10).cast("double")
-    return None
+def settled(rel: Relation) -> Relation:
+    """The rows written in their order; a place in it is one number from then on."""
+    df, place = rel.df, fresh("place")
+    if rel.order:
+        df = df.repartitionByRange(*rel.order_columns()).sortWithinPartitions(*rel.order_columns())
+    df = staged(df.withColumn(place, F.monotonically_increasing_id()), "settled")
+    # the number of the partition stands above the number in it
+    return rel.with_(df=df).sorted_by([(place, True)], ordinal=place, buckets=(F.shiftright(F.col(place), 33),))
 
 
-def _bucketed(rel: Relation) -> tuple[Relation, str]:
-    """The relation with a bucket number that rises along the order.
+def with_ordinal(rel: Relation) -> Relation:
+    """The relation with a place that is one number, where files can be ranked; else as it is."""
+    if rel.ordinal or not rel.files:
+        return rel
+    spark, (file, row) = rel.df.sparkSession, (c for c, _ in rel.order)
+    ranks = spark.createDataFrame(list(zip(rel.files, range(len(rel.files)), strict=True)), "_ranked string, _rank long")
+    place = fresh("place")
+    df = rel.df.join(F.broadcast(ranks), F.col(file) == F.col("_ranked"))  # a row a file, MOST_RANKED at most
+    df = df.withColumn(place, F.shiftleft("_rank", _RANK_SHIFT).bitwiseOR(F.col(row))).drop("_ranked", "_rank")
+    return rel.with_(df=df, order=[(place, True)], ordinal=place, files=())
 
-    Buckets are cut at quantiles of the first order column that has more than one value.
-    """
-    bucket, kinds = fresh("bucket"), dict(rel.df.dtypes)
-    tried = []
-    for column, up in rel.order[:4]:
-        value = _along(column, kinds[column])
-        if value is None:
-            break
-        tried.append((column, up, value))
-    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    made = [
-        F.struct(
-            F.percentile_approx(v, cuts, 1000).alias("cuts"),
-            ((F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1)))).alias("same"),
-        )
-        for c, _, v in tried
-    ]
-    edges, number, up = [], F.lit(0), True
-    found = rel.df.agg(*made).first() if made else []
-    for (_, up, value), seen in zip(tried, found, strict=True):
-        if seen["same"]:
-            continue
-        edges = sorted(set(seen["cuts"] or []))
-        above = sum(((value > e).cast("int") for e in edges), F.lit(0))
-        number = F.when(value.isNull(), len(edges) + 1).otherwise(above)
-        break
-    if not up:
-        number = F.lit(len(edges) + 1) - number
-    return rel.with_(df=rel.df.withColumn(bucket, number)), bucket
-
-
-def number_rows(rel: Relation) -> tuple[Relation, str]:
-    """The relation with each row's number, from 1."""
+
+def chunked(place: str) -> tuple[Column, ...]:
+    return (F.shiftright(F.col(place), _CHUNK_BITS),)
+
+
+def _cut(rel: Relation) -> tuple[Relation, list[str], bool]:
+    """The relation with bucket columns, their names, and whether it was settled for that."""
+    fresh_places = not rel.buckets
+    if fresh_places:
+        rel = settled(rel)
+    names = [fresh("bucket") for _ in rel.buckets]
+    return rel.with_(df=rel.df.withColumns(dict(zip(names, rel.buckets, strict=True)))), names, fresh_places
+
+
+def _met(df: DataFrame, few: DataFrame, names: list[str], bounded: bool) -> DataFrame:
+    """Rows with their bucket's row; buckets of a sort are few, pieces of a scan stay where windows put them."""
+    return df.join(F.broadcast(few) if bounded else few, names)
+
+
+def _numbered(rel: Relation, total: str | None = None) -> tuple[Relation, str, list[str], bool]:
     number = fresh("number")
-    if rel.row_number:
+    rel, names, fresh_places = _cut(rel)
+    sizes = rel.df.groupBy(*names).agg(F.count(F.lit(1)).alias("_size"))
+    along = Window.orderBy(*names)  # a row a bucket
+    before = F.sum("_size").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    more = [F.sum("_size").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total)] if total else []
+    sizes = sizes.select(*names, F.coalesce(before, F.lit(0)).alias("_before"), *more)
+    if fresh_places:  # no row has gone since its place was given
+        inside = F.col(rel.ordinal).bitwiseAND(F.lit(_IN_TASK)) + 1
+    else:
+        inside = F.row_number().over(Window.partitionBy(*names).orderBy(*rel.order_columns()))
+    df = _met(rel.df.withColumn(number, inside.cast("long")), sizes, names, fresh_places)
+    return rel.with_(df=df.withColumn(number, F.col(number) + F.col("_before")).drop("_before")), number, names, fresh_places
+
+
+def number_rows(rel: Relation, total: str | None = None) -> tuple[Relation, str]:
+    """The relation with each row's number, from 1, and with the number of all rows in *total*."""
+    if rel.row_number and not total:
+        number = fresh("number")
         return rel.with_(df=rel.df.withColumn(number, F.col(rel.row_number) + 1)), number
-    if not rel.order:
-        rel = rel.with_(order=[(rel.fields[0].physical, True)])
-    rel, bucket = _bucketed(rel)
-    sizes = rel.df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # over BUCKETS rows
-    sizes = sizes.select(F.col(bucket), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(bucket).orderBy(*rel.order_columns())
-    df = rel.df.withColumn(number, F.row_number().over(inside)).join(F.broadcast(sizes), bucket)
-    df = df.withColumn(number, F.col(number) + F.col("_before")).drop("_before", bucket)
-    return rel.with_(df=df), number
+    rel, number, names, _ = _numbered(rel, total)
+    return rel.with_(df=rel.df.drop(*names)), number
 
 
 def previous_values(rel: Relation, columns: list[str]) -> tuple[Relation, list[str], str]:
     """The relation with the row before's cells (the own ones in the first row) and a first-row mark."""
     names, first = [fresh("prev") for _ in columns], fresh("first")
-    if not rel.order:
-        rel = rel.with_(order=[(rel.fields[0].physical, True)])
-    rel, bucket = _bucketed(rel)
-    inside = Window.partitionBy(bucket).orderBy(*rel.order_columns())
-    upward = [F.col(c) for c, up in rel.order]
+    rel, buckets, fresh_places = _cut(rel)
+    inside = Window.partitionBy(*buckets).orderBy(*rel.order_columns())
     cells = F.struct(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)))
-    place = F.struct(*upward)
     if all(up for _, up in rel.order):
-        last = rel.df.groupBy(bucket).agg(F.max_by(cells, place).alias("_last"))
-    elif not any(up for _, up in rel.order):
-        last = rel.df.groupBy(bucket).agg(F.min_by(cells, place).alias("_last"))
+        place = F.col(rel.ordinal) if rel.ordinal else F.struct(*(F.col(c) for c, _ in rel.order))
+        last = rel.df.groupBy(*buckets).agg(F.max_by(cells, place).alias("_last"))
     else:
-        back = Window.partitionBy(bucket).orderBy(*rel.order_columns(reverse=True))
-        last = rel.df.withColumn("_n", F.row_number().over(back)).filter("_n = 1").select(bucket, cells.alias("_last"))
-    carried = last.select(bucket, F.lag("_last").over(Window.orderBy(bucket)).alias("_carried"))  # BUCKETS rows
-    df = rel.df.withColumn("_lag", F.lag(cells).over(inside)).join(F.broadcast(carried), bucket)
+        back = Window.partitionBy(*buckets).orderBy(*rel.order_columns(reverse=True))
+        last = rel.df.withColumn("_n", F.row_number().over(back)).filter("_n = 1").select(*buckets, cells.alias("_last"))
+    carried = last.select(*buckets, F.lag("_last").over(Window.orderBy(*buckets)).alias("_carried"))  # a row a bucket
+    df = _met(rel.df.withColumn("_lag", F.lag(cells).over(inside)), carried, buckets, fresh_places)
     df = df.withColumn("_lag", F.coalesce("_lag", "_carried")).withColumn(first, F.col("_lag").isNull())
     for c, n in zip(columns, names, strict=True):
         df = df.withColumn(n, F.when(F.col(first), F.col(c)).otherwise(F.col(f"_lag.{n}")))
-    return rel.with_(df=df.drop("_lag", "_carried", bucket)), names, first
+    return rel.with_(df=df.drop("_lag", "_carried", *buckets)), names, first
+
+
+def near_hits(rel: Relation, hit: str, before: int, after: int) -> Relation:
+    """The rows with a row where *hit* holds among the *before* rows behind them, or *after* ahead.
+
+    The nearest hits on both sides are found inside the bucket, else carried over from the
+    nearest bucket that has one.
+    """
+    rel, number, names, fresh_places = _numbered(rel)
+    at = F.when(F.col(hit), F.col(number))
+    along = Window.orderBy(*names)  # a row a bucket
+    edges = rel.df.groupBy(*names).agg(F.min(at).alias("_least"), F.max(at).alias("_most"))
+    edges = edges.select(
+        *names,
+        F.max("_most").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_behind"),
+        F.min("_least").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_ahead"),
+    )
+    inside = Window.partitionBy(*names).orderBy(*rel.order_columns())
+    df = rel.df.withColumn("_up", F.max(at).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_down", F.min(at).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    df = _met(df, edges, names, fresh_places)
+    behind, ahead = F.coalesce("_up", "_behind"), F.coalesce("_down", "_ahead")
+    near = (F.col(number) - behind <= after) | (ahead - F.col(number) <= before)
+    df = df.filter(F.coalesce(near, F.lit(False))).drop("_up", "_down", "_behind", "_ahead", number, *names)
+    return rel.with_(df=df, row_number=None)

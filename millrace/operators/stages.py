@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.evaluate import Scope, can_fail, condition, evaluate
@@ -15,10 +15,7 @@ from ..plans.errors import ScriptError
 from ..plans.expr import Node, walk
 from ..plans.relation import Field, Relation, fresh
 from ..plans.script import Stage, uses
-from .numbering import number_rows, previous_values
-
-_STATEFUL = ("prev", "rownum")
-
+from .numbering import chunked, near_hits, number_rows, previous_values, settled, with_ordinal
 
 def _scope(rel: Relation, node: Node, number: str | None) -> tuple[Relation, Scope]:
     """The relation with what *node* needs of the row before, and the scope to read it."""
@@ -39,10 +36,8 @@ def select(rel: Relation, args: dict, number: str | None) -> Relation:
     if not (args["before"] or args["after"]):
         return rel.with_(df=rel.df.filter(keep), row_number=None)
     hit = fresh("hit")
-    rel = rel.with_(df=rel.df.withColumn(hit, keep))
-    near = Window.orderBy(*rel.order_columns()).rowsBetween(-args["after"], args["before"])
-    df = rel.df.withColumn(hit, F.max(hit).over(near)).filter(hit)
-    return rel.with_(df=df, row_number=None)
+    rel = rel.with_(df=rel.df.withColumn(hit, keep), row_number=None)
+    return near_hits(rel, hit, args["before"], args["after"])
 
 
 def add(rel: Relation, args: dict, number: str | None) -> Relation:
@@ -116,7 +111,7 @@ def sort(rel: Relation, args: dict) -> Relation:
             k = fresh("key")
             df = df.withColumn(k, c)
             keys.append((k, not reverse))
-    return rel.with_(df=df, order=[*keys, *rel.order], row_number=None)
+    return rel.with_(df=df).sorted_by([*keys, *rel.order])
 
 
 def _number_keys(v: Value, number: Column) -> list[Column]:
@@ -131,9 +126,9 @@ def head(rel: Relation, args: dict) -> Relation:
     if "first" in args:
         df = rel.df.orderBy(*rel.order_columns()) if rel.order else rel.df
         return rel.with_(df=df.limit(args["first"]), row_number=None)
-    rel, n = number_rows(rel)
-    total = rel.df.count()
-    return rel.with_(df=rel.df.filter(F.col(n) <= max(0, total - args["but_last"])), row_number=None)
+    total = fresh("total")
+    rel, n = number_rows(rel, total)
+    return rel.with_(df=rel.df.filter(F.col(n) <= F.col(total) - args["but_last"]), row_number=None)
 
 
 def tail(rel: Relation, args: dict) -> Relation:
@@ -141,40 +136,37 @@ def tail(rel: Relation, args: dict) -> Relation:
         return rel.with_(df=rel.df.orderBy(*rel.order_columns(reverse=True)).limit(args["last"]), row_number=None)
     if args["from"] == 1:
         return rel
-    return rel.with_(df=rel.df.orderBy(*rel.order_columns()).offset(args["from"] - 1), row_number=None)
+    rel, n = number_rows(rel)
+    return rel.with_(df=rel.df.filter(F.col(n) >= args["from"]), row_number=None)
 
 
 def _key(f: Field) -> Column:
-    """What rows are the same by: the output text; numbers stand for theirs."""
+    """What rows are the same by: the output text, which whole numbers stand for themselves."""
     v = f.value()
-    if v.kind in ("num", "int"):
-        return F.col(f.physical)
-    return v.text()
+    return F.col(f.physical) if v.kind == "int" else v.text()
 
 
 def uniq(rel: Relation, args: dict) -> Relation:
     """The first row of each key: an aggregate with partial results, not a window over all rows."""
     fields = [rel.get(c) for c in args["columns"]] or rel.fields
     keys = {fresh("key"): _key(f) for f in fields}
+    rel = _rising(rel)
+    if rel.ordinal:  # the least place of each key, and then the rows that stand there
+        first = rel.df.groupBy(*(c.alias(k) for k, c in keys.items())).agg(F.min(rel.ordinal).alias("_first")).select("_first")
+        return rel.with_(df=rel.df.join(first, F.col(rel.ordinal) == F.col("_first"), "left_semi"), row_number=None)
     kept = list(dict.fromkeys([*(f.physical for f in rel.fields), *(c for c, _ in rel.order)]))
-    place = F.struct(*(_rank(c, up) for c, up in rel.order)) if rel.order else F.lit(0)
+    place = F.struct(*(F.col(c) for c, _ in rel.order)) if rel.order else F.lit(0)
     df = rel.df.withColumns(keys).groupBy(*keys)
     df = df.agg(F.min_by(F.struct(*kept), place).alias("_row")).select("_row.*")
     return rel.with_(df=df, row_number=None)
 
 
-def _rank(column: str, up: bool) -> Column:
-    if not up:
-        raise ScriptError("uniq and agg after a reverse sort need numbered rows")
-    return F.col(column)
-
-
-def ascending(rel: Relation) -> Relation:
-    """The relation with an order that only ascends, by numbering rows where it does not."""
-    if all(up for _, up in rel.order):
+def _rising(rel: Relation) -> Relation:
+    """The relation with an order that has a least place, as one number where that costs no sort."""
+    if not rel.order:
         return rel
-    rel, n = number_rows(rel)
-    return rel.with_(order=[(n, True)])
+    rel = with_ordinal(rel)
+    return rel if rel.ordinal or all(up for _, up in rel.order) else settled(rel)
 
 
 def _parts(v: Value) -> dict[str, Column]:
@@ -214,8 +206,9 @@ def aggregate_value(fn: str, v: Value) -> tuple[Column, str, str | None]:
     return F.when(numeric, made(p["x"])), "num", "Num"
 
 
-def agg(rel: Relation, args: dict, ordered: bool = True) -> Relation:
+def agg(rel: Relation, args: dict) -> Relation:
     keys = [rel.get(k) for k in args["keys"]]
+    rel = _rising(rel) if keys else rel
     physical = [fresh("k") for _ in keys]
     made, fields = [], []
     for (name, fn, col) in args["aggregates"]:
@@ -231,17 +224,23 @@ def agg(rel: Relation, args: dict, ordered: bool = True) -> Relation:
     if len(set(names)) < len(names):
         raise ScriptError(f"agg makes the column '{next(n for n in names if names.count(n) > 1)}' twice; name one with NAME=")
     order: list[tuple[str, bool]] = []
-    if ordered and rel.order and keys:
+    if rel.order and keys:
         place = fresh("place")
-        made.append(F.min(F.struct(*(c for c, _ in rel.order))).alias(place))
+        least = F.col(rel.ordinal) if rel.ordinal else F.struct(*(c for c, _ in rel.order))
+        made.append(F.min(least).alias(place))
         order = [(place, True)]
     if keys:
         df = rel.df.groupBy(*(_key(k).alias(p) for k, p in zip(keys, physical, strict=True))).agg(*made)
     else:
         total = fresh("n")
         df = rel.df.agg(*made, F.count(F.lit(1)).alias(total)).filter(F.col(total) > 0)
-    kept = [Field(k.name, p, k.kind if k.kind in ("num", "int") else "text", k.static) for k, p in zip(keys, physical, strict=True)]
-    return Relation(df, [*kept, *fields], order)
+    kept = []
+    for k, p in zip(keys, physical, strict=True):
+        if k.kind == "num":
+            df = df.withColumn(p, F.when(F.col(p) != "", F.col(p).cast("double")))
+        kept.append(Field(k.name, p, k.kind if k.kind in ("num", "int") else "text", k.static))
+    known = {"ordinal": order[0][0], "buckets": chunked(order[0][0])} if order and rel.ordinal else {}
+    return Relation(df, [*kept, *fields], order, **known)
 
 
 _STATS = (("count", "int"), ("empty", "int"), ("min", "text"), ("max", "text"), ("sum", "num"), ("mean", "num"), ("stddev", "num"))

@@ -37,6 +37,9 @@ class Relation:
     fields: list[Field]
     order: list[tuple[str, bool]] = field(default_factory=list)  # physical names, ascending
     row_number: str | None = None  # physical column that counts rows from 0 while none was dropped
+    ordinal: str | None = None  # physical long column that gives the whole order by itself
+    buckets: tuple[Column, ...] = ()  # what cuts the order into pieces of bounded size, first piece first
+    files: tuple[str, ...] = ()  # of a scan of several files, where the order is (file, place): their paths, sorted
 
     @property
     def header(self) -> list[str]:
@@ -45,6 +48,10 @@ class Relation:
     def with_(self, **changes) -> Relation:
         return replace(self, **changes)
 
+    def sorted_by(self, order: list[tuple[str, bool]], **changes) -> Relation:
+        """The relation in another order; what was known of the old one is forgotten."""
+        return replace(self, **{"order": order, "row_number": None, "ordinal": None, "buckets": (), "files": (), **changes})
+
     def order_columns(self, reverse: bool = False) -> list[Column]:
         return [
             F.col(c).asc_nulls_last() if up != reverse else F.col(c).desc_nulls_first() for c, up in self.order

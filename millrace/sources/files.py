@@ -16,15 +16,43 @@ from ..plans.relation import Field, Relation, fresh, kind_of
 MOST_FILES = 10_000
 
 
-def _place(position: str) -> tuple[list[Column], list[tuple[str, bool]]]:
-    """Hidden columns that give the rows' order: file, split, place in it."""
-    file, place = fresh("file"), fresh("row")
-    path = F.col("_metadata.file_path").alias(file)
-    if position == "row_index":
-        return [path, F.col("_metadata.row_index").alias(place)], [(file, True), (place, True)]
-    split = fresh("split")
-    start = F.col("_metadata.file_block_start").alias(split)
-    return [path, start, F.monotonically_increasing_id().alias(place)], [(file, True), (split, True), (place, True)]
+#: Rows, or bytes of CSV, of one piece of the scan order.
+CHUNK_ROWS, CHUNK_BYTES = 1 << 20, 1 << 27
+#: Files whose ranks are made a table of, for a place in the order that is one number.
+MOST_RANKED = 100_000
+_IN_TASK = (1 << 33) - 1
+
+
+def _chunk(place: str, size: int) -> Column:
+    return F.shiftright(F.col(place), size.bit_length() - 1)
+
+
+def _row_places(files: list[str]) -> tuple[list[Column], dict]:
+    """Hidden columns of a Parquet scan's order, and what a relation knows of it."""
+    place = fresh("row")
+    index = F.col("_metadata.row_index").alias(place)
+    if len(files) == 1:
+        return [index], {"order": [(place, True)], "row_number": place, "ordinal": place, "buckets": (_chunk(place, CHUNK_ROWS),)}
+    file = fresh("file")
+    known = {"order": [(file, True), (place, True)], "buckets": (F.col(file), _chunk(place, CHUNK_ROWS))}
+    return [F.col("_metadata.file_path").alias(file), index], known | {"files": tuple(sorted(files)) if len(files) <= MOST_RANKED else ()}
+
+
+def _line_places(files: list[str]) -> tuple[list[Column], dict]:
+    """Hidden columns of a line scan's order.
+
+    A task numbers its lines, which is the order inside a split.  A line has a byte at
+    least, so in a scan of one file the split's start plus that number rises too.
+    """
+    line = F.monotonically_increasing_id()
+    start = F.col("_metadata.file_block_start")
+    if len(files) == 1:
+        place = fresh("row")
+        made = (start + line.bitwiseAND(F.lit(_IN_TASK))).alias(place)
+        return [made], {"order": [(place, True)], "ordinal": place, "buckets": (_chunk(place, CHUNK_BYTES),)}
+    file, split, place = fresh("file"), fresh("split"), fresh("row")
+    known = {"order": [(file, True), (split, True), (place, True)], "buckets": (F.col(file), F.col(split))}
+    return [F.col("_metadata.file_path").alias(file), start.alias(split), line.alias(place)], known
 
 
 def from_frame(df: DataFrame) -> Relation:
@@ -43,19 +71,19 @@ def _doubles(df: DataFrame, fields: list[Field]) -> DataFrame:
 def scan_parquet(spark: SparkSession, path: str) -> Relation:
     df = spark.read.parquet(path)
     fields = [Field(f.name, fresh("c"), kind_of(f.name, f.dataType)) for f in df.schema]
-    place, order = _place("row_index")
-    scan = df.select(*(F.col(f"`{f.name}`").alias(f.physical) for f in fields), *place)
-    single = len(df.inputFiles()) == 1
-    return Relation(_doubles(scan, fields), fields, order, order[-1][0] if single else None)
+    places, known = _row_places(df.inputFiles())
+    scan = df.select(*(F.col(f"`{f.name}`").alias(f.physical) for f in fields), *places)
+    return Relation(_doubles(scan, fields), fields, **known)
 
 
 def scan_csv(spark: SparkSession, path: str, header: str | None = None) -> Relation:
     """Lines split by commas; ``"`` quotes, no row spans lines; short rows read as blank cells."""
     reader = spark.read.option("lineSep", "\n")
     source = reader.text(path)
-    place, order = _place("block")
-    lines = source.select(F.regexp_replace("value", "\r$", "").alias("_line"), *place)
     found = sorted(source.inputFiles())
+    places, known = _line_places(found)
+    order = known["order"]
+    lines = source.select(F.regexp_replace("value", "\r$", "").alias("_line"), *places)
     if header is None or header == "-":
         # the first split of a file comes first among splits of its size
         top = reader.text(found[0]).first() if found else None
@@ -66,11 +94,10 @@ def scan_csv(spark: SparkSession, path: str, header: str | None = None) -> Relat
     else:
         names = split_line(header)
     if header is None:
-        file, split, place = (c for c, _ in order)
-        if len(found) == 1:  # the first row of the task that reads the file's start
-            start = F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) == 0
-            lines = lines.filter(~((F.col(split) == 0) & start))
+        if len(found) == 1:
+            lines = lines.filter(F.col(order[0][0]) != 0)
         else:
+            file, split, place = (c for c, _ in order)
             heads = lines.filter(F.col(split) == 0).groupBy(file).agg(F.min(place).alias("_head"))
             lines = lines.join(heads, file, "left").filter(~(F.col("_head").eqNullSafe(F.col(place)) & (F.col(split) == 0)))
     fields = [Field(n, fresh("c"), "text") for n in names]
@@ -79,7 +106,7 @@ def scan_csv(spark: SparkSession, path: str, header: str | None = None) -> Relat
     valid = F.when(F.is_valid_utf8("_line"), F.col("_line")).otherwise(F.raise_error(F.lit("the input is not valid UTF-8")).cast("string"))
     cells = lines.select(F.from_csv(valid, schema, options).alias("_row"), *(c for c, _ in order))
     kept = [F.coalesce(F.col(f"_row.{f.physical}"), F.lit("")).alias(f.physical) for f in fields]
-    return Relation(cells.select(*kept, *(c for c, _ in order)), fields, order)
+    return Relation(cells.select(*kept, *(c for c, _ in order)), fields, **known)
 
 
 def split_line(line: str) -> list[str]:
