@@ -32,10 +32,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest id stays."""
-    groups = near_copies.near_copies(docs.select("doc_id", "text"))
-    gone = groups.filter("doc_id <> group_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near copies one row stays, that with the smallest id; told by id and text."""
+    return near_copies.firsts(docs.select(*COLUMNS))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

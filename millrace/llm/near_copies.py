@@ -1,24 +1,35 @@
-"""Near copies at a Jaccard similarity of word shingles, by prefix-filtered shingle sets.
+"""Near copies at a Jaccard similarity of word shingles: SimHash first, and an exact way for the rest.
 
 The pipeline's near-duplicate stage: five-word shingles (A-Z lower-cased) and a
-similarity of 0.8.  Candidates are certain, not likely: two sets of at least that
-similarity share an element of the first n - ceil(0.8 n) + 1 of each, in whatever order
-all sets are put.  The order here is by hash, with shingles that a sample of the texts
-shows to be frequent behind all others, so that the prefixes hold few of them; which
-shingles are sampled decides about speed only.  A pair that meets in a prefix must pass
-three bounds that no similar pair fails: on its lengths, on what is left behind the
-place where it meets, and on the bits in which 512-bit parities of the sets differ (no
-more than the elements in which the sets do).  What is left is verified on the exact
-shingle sets of the whole texts.
-
-Large groups: the texts of a prefix element are first compared with one of them, a few
-times over, and then only texts whose verified links have not brought them together
-already are paired.
-
-Defined cases: a null text counts as the empty text; equal texts (by 64-bit hash of
-the text) are one class; texts of fewer than five words have one shingle, the whole
-sequence, and texts without words are near no other; of a group the smallest id
-stays, null ids last; repeated rows share a group; an empty table gives an empty result.
+similarity of 0.8.
+
+1.  Multi-index hashing (``simhash.links``): each text's shingle set has a 64-bit SimHash;
+    Hamming balls around its segments fetch the table's matches within three bits.  Pairs
+    found so are verified on the exact shingle sets, and bring most copies into groups.
+2.  Pairs at 0.8 can be many bits apart, so the rest comes from prefixes of the exact
+    sets, in which every such pair meets for certain: two sets of at least that similarity
+    share an element of the first n - ceil(0.8 n) + 1 of each, in whatever order all sets
+    are put.  The order here is by hash, with shingles that a sample of the texts shows to
+    be frequent behind all others, so that the prefixes hold few of them; which shingles
+    are sampled decides about speed only.  A pair that meets must pass three bounds that no
+    similar pair fails: on its lengths, on what is left behind the place where it meets, and
+    on the bits in which 512-bit parities of the sets differ (no more than the elements in
+    which the sets do).  What is left is verified on the exact sets of the whole texts.
+
+Large groups: the texts of a prefix element are first compared with one of them, and then
+only texts whose verified links have not brought them together already are paired, without
+making the pairs inside the group that prevails under an element.
+
+Names: a text is named by a 64-bit hash.  Texts that a second hash tells apart get another
+name, so that unlike texts never share one (but for an agreement of all 128 bits).
+
+Defined cases: a null text counts as the empty text; equal texts are one class; texts of
+fewer than five words have one shingle, the whole sequence, and texts without words are
+near no other text; very long texts are taken whole (their sets are held one at a time);
+of a group the row with the smallest id stays, null ids last, and of equal ids the one
+whose text has the smaller name; repeated rows share a group, and one of them stays; an
+empty table gives an empty result; extra columns pass through ``firsts``, whatever
+their names, and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -28,11 +39,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import staged, text_or_empty
 from .components import connected_components
+from .linking import pairs_across, with_groups
 
 #: Similar sets have at least NEAR parts of OF of their union in common.
 NEAR, OF = 4, 5
@@ -40,8 +53,6 @@ SHINGLE = 5
 #: One text of so many is sampled; shingles found so often there are frequent, the
 #: most frequent at most so many (8 bytes each in every task).
 SAMPLE, OFTEN, MOST = 16, 3, 1_000_000
-#: Comparisons with one text for each prefix element, before all pairs are made.
-ROUNDS = 2
 _CACHED_WORDS = 200_000
 _PARITY = [f"p{i}" for i in range(8)]
 _MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -111,7 +122,7 @@ def _frequent(named: DataFrame) -> np.ndarray:
 
 
 def _indexed(named: DataFrame) -> DataFrame:
-    """(node, n, parity, keys): each row's set size, parity and prefix."""
+    """(node, n, fp, parity, keys): each row's set size, SimHash, parity and prefix."""
     frequent = _frequent(named)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +133,14 @@ def _indexed(named: DataFrame) -> DataFrame:
             keys = [prefix(s, frequent) if len(s) else s for s in sets]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64)
-            columns = [batch.column("node"), pa.array([len(s) for s in sets], pa.int32())]
+            prints = np.array([simhash.majority([s]) for s in sets], np.uint64).view(np.int64)
+            columns = [batch.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints)]
             columns += [pa.array(parities[:, i].copy()) for i in range(len(_PARITY))]
             columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n", *_PARITY, "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "fp", *_PARITY, "keys"])
 
     longs = ", ".join(f"{p} long" for p in _PARITY)
-    return named.select("node", "_text").mapInArrow(run, f"node long, n int, {longs}, keys array<long>")
+    return named.select("node", "_text").mapInArrow(run, f"node long, n int, fp long, {longs}, keys array<long>")
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,29 +175,39 @@ def _possible(n: str, left: str, m: str, right: str):
     return lengths & ((NEAR + OF) * F.least(left, right) >= NEAR * (F.col(n) + F.col(m)))
 
 
-def _ties(postings: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes of different groups, one of them the turn's head of a common element."""
-    one = F.struct(F.xxhash64("node", F.lit(turn)), "node", "group", "n", "left")
+def _by_simhash(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of one node for each SimHash with others of it, and of SimHashes that link."""
+    prints = nodes.filter("n > 0").select("node", "fp")
+    heads = staged(prints.groupBy("fp").agg(F.min("node").alias("head")), "near-prints")
+    same = prints.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    linked = simhash.links(heads.select("fp"))
+    x, y = (heads.toDF(side, f"{side}_head") for side in ("a", "b"))
+    linked = linked.join(x, "a").join(y, "b")
+    linked = linked.select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b"))
+    return same.union(linked).distinct()
+
+
+def _ties(postings: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of different groups, one of them the head of a common element."""
+    one = F.struct(F.xxhash64("node"), "node", "a_group", "n", "left")
     heads = postings.groupBy("key").agg(F.min(one).alias("top")).select(
-        "key", F.col("top.node").alias("head"), F.col("top.group").alias("of"), F.col("top.n").alias("m"), F.col("top.left").alias("right")
+        "key", F.col("top.node").alias("head"), F.col("top.a_group").alias("of"), F.col("top.n").alias("m"), F.col("top.left").alias("right")
     )
-    met = postings.join(staged(heads, "near-heads"), "key").filter(F.col("group") != F.col("of"))
+    met = postings.join(staged(heads, "near-heads"), "key").filter(F.col("a_group") != F.col("of"))
     met = met.filter(_possible("n", "left", "m", "right"))
     return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
 def _meetings(postings: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of nodes of different groups that have a prefix element in common."""
-    other = postings.toDF("key", *(f"_{c}" for c in postings.columns[1:]))
-    met = postings.join(other, "key").filter((F.col("node") < F.col("_node")) & (F.col("group") != F.col("_group")))
-    met = met.filter(_possible("n", "left", "_n", "_left"))
-    return met.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
+    asked = postings.toDF("key", "_node", "_n", "_left", "b_group")
+    met = pairs_across(postings, asked, ["key"], symmetric=True).filter(_possible("n", "left", "_n", "_left"))
+    return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
 
-def _grouped(postings: DataFrame, group: DataFrame) -> DataFrame:
-    found = postings.drop("group").join(group, "node", "left")
-    found = found.select("key", "node", "n", "left", F.coalesce("component", "node").alias("group"))
-    return staged(found, "near-grouped")
+def _grouped(postings: DataFrame, groups: DataFrame) -> DataFrame:
+    found = with_groups(postings.select("key", "node", "n", "left"), groups, "node")
+    return staged(found.withColumnRenamed("node_group", "a_group"), "near-grouped")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
@@ -197,8 +219,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame
         apart = apart + F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}")))
     # similar sets differ in (OF - NEAR) of (OF + NEAR) parts of their elements at most
     close = (OF + NEAR) * apart <= (OF - NEAR) * (F.col("a_n") + F.col("b_n"))
-    pairs = staged(staged(pairs, "near-met").join(x, "a").join(y, "b").filter(close).select("a", "b"), "near-pairs")
-    wanted = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-wanted")
+    pairs = staged(pairs.join(x, "a").join(y, "b").filter(close).select("a", "b"), "near-pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # hashing the narrow side spares the texts a sort
     texts = named.select("node", "_text").join(wanted.hint("shuffle_hash"), "node", "left_semi")
     sets = texts.mapInArrow(_shingle_sets, "node long, set binary")
@@ -207,23 +229,76 @@ def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame
     return staged(both.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long"), "near-links")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, group_id): the smallest id of each row's group of near copies."""
+def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(_id, node, _check, _text) rows, and the names that unlike texts share."""
     text = text_or_empty(text_col)
-    named = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("node"), text.alias("_text"))
-    rows = staged(named.select("_id", "node"), "near-rows")
-    ids = staged(rows.groupBy("node").agg(F.min("_id").alias("first_id")), "near-nodes")
+    name, check = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    rows = docs.select(F.col(id_col).alias("_id"), name.alias("node"), check.alias("_check"), text.alias("_text"))
+    twins = rows.groupBy("node").agg(F.min("_check").alias("_least"), F.max("_check").alias("_most"))
+    twins = staged(twins.filter("_least <> _most").select("node", "_least"), "near-twins")
+    return rows, twins
+
+
+def _told_apart(rows: DataFrame, twins: DataFrame) -> DataFrame:
+    """Rows whose ``node`` names one text: of texts with one hash all but one go by their second."""
+    if twins.isEmpty():
+        return rows.drop("_check")
+    found = rows.join(twins, "node", "left").withColumn("node", F.when(F.col("_check") != F.col("_least"), F.col("_check")).otherwise(F.col("node")))
+    return found.drop("_check", "_least")
+
+
+def _groups(named: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that have near copies, ``named`` being (node, _text) rows."""
     index = staged(_indexed(named), "near-index")
-    nodes = staged(index.select("node", "n", *_PARITY).distinct(), "near-parities")
-    postings = staged(_postings(index).withColumn("group", F.col("node")), "near-postings")
-    links = None
-    for turn in range(ROUNDS):
-        found = _verified(_ties(postings, turn), nodes, named)
-        links = found if links is None else links.union(found)
-        postings = _grouped(postings, connected_components(links))
-    group = connected_components(links.union(_verified(_meetings(postings), nodes, named)))
-    labelled = ids.join(group, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root"))
-    labelled = staged(labelled, "near-roots")
-    least = staged(labelled.groupBy("root").agg(F.min("first_id").alias("group_id")), "near-least")
-    labels = staged(labelled.join(least, "root").select("node", "group_id"), "near-labels")
-    return rows.join(labels, "node").select(F.col("_id").alias(id_col), "group_id")
+    nodes = staged(index.select("node", "n", "fp", *_PARITY).distinct(), "near-parities")
+    found = _by_simhash(nodes)
+    nodes = nodes.drop("fp")
+    links = _verified(found, nodes, named)
+    plain = staged(_postings(index), "near-postings")
+    postings = _grouped(plain, connected_components(links))
+    links = links.union(_verified(_ties(postings), nodes, named))
+    postings = _grouped(plain, connected_components(links))
+    return connected_components(links.union(_verified(_meetings(postings), nodes, named)))
+
+
+def _labelled(named: DataFrame) -> DataFrame:
+    """(node, keep_node, keep_id, keep_repeats, rows) of every node: which row of its group stays.
+
+    ``rows`` counts the group's rows, ``keep_repeats`` those with the id and the text that stay.
+    """
+    by_id = named.groupBy("node", "_id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "node", "n")
+    ids = staged(by_id.groupBy("node").agg(F.min(first).alias("first"), F.sum("n").alias("n")), "near-nodes")
+    found = with_groups(ids, _groups(named.select("node", "_text")), "node").withColumnRenamed("node_group", "root")
+    found = staged(found, "near-roots")
+    least = found.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("rows"))
+    least = least.select("root", F.col("first.node").alias("keep_node"), F.col("first._id").alias("keep_id"), F.col("first.n").alias("keep_repeats"), "rows")
+    return staged(found.select("node", "root").join(staged(least, "near-least"), "root").drop("root"), "near-labels")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group_id) of every row: the id of the row of its group that stays."""
+    named = _told_apart(*_named(docs, id_col, text_col))
+    labels = _labelled(named)
+    rows = staged(named.select("_id", "node"), "near-rows")
+    return rows.join(labels, "node").select(F.col("_id").alias(id_col), F.col("keep_id").alias("group_id"))
+
+
+def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of *docs* that stay: one of each group, told by its id and its text."""
+    rows, twins = _named(docs, id_col, text_col)
+    labels = _labelled(_told_apart(rows, twins))
+    crowded = labels.filter("rows > 1").toDF("_node", "_keep_node", "_keep_id", "_keep_repeats", "_rows").drop("_rows")
+    text = text_or_empty(text_col)
+    own = docs.select(*(F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(docs.columns)), F.col(id_col).alias("_id"), F.xxhash64(text).alias("node"), F.xxhash64(F.lit(1), text).alias("_check"))
+    own = _told_apart(own, twins).withColumnRenamed("node", "_node")
+    # hashing the narrow side spares the texts a sort
+    met = own.join(crowded.hint("shuffle_hash"), "_node", "left")
+    stays = F.col("_keep_node").isNull() | ((F.col("_node") == F.col("_keep_node")) & F.col("_id").eqNullSafe(F.col("_keep_id")))
+    kept = met.filter(stays)
+    if not crowded.filter("_keep_repeats > 1").isEmpty():  # one of the repeats of a row
+        again = Window.partitionBy("_node").orderBy("_node")
+        single = kept.filter("coalesce(_keep_repeats, 1) = 1")
+        once = kept.filter("_keep_repeats > 1").withColumn("_n", F.row_number().over(again)).filter("_n = 1").drop("_n")
+        kept = single.unionByName(once)
+    return kept.select(*(F.col(f"_own{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from millrace.llm import (
     bpe,
+    components,
     exact_dedup,
     license_scan,
     near_copies,
@@ -109,18 +110,15 @@ def test_simhash(spark, docs, empty):
     by = {r.doc_id: r.component_id for r in rows}
     assert by[1] == by[2] == 1 and by[5] == by[6] == 5
     assert simhash.near_duplicates(empty).count() == 0
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 60, dtype=np.int64)
-    flips = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, n, replace=False)) for b in base for n in (1, 2, 3, 4, 5)]
-    values = sorted({*map(int, base), *flips})
-    found = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(v,) for v in values], "fp long")).collect()}
-    assert found == {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= 3}
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102)]
+@pytest.mark.parametrize("block", [10_000, 5])
+def test_components(spark, monkeypatch, block):
+    """One block, and star rounds where the table is larger than a block."""
+    monkeypatch.setattr(components, "BLOCK_EDGES", block)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (100, 102), (-5, 100), (200, 201), (202, 201)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((-5, 100, 101, 102), -5), **dict.fromkeys((200, 201, 202), 200)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -350,3 +348,117 @@ def test_pii_with_more_behind_it(text, value, kind):
     assert made != re.sub(r"[ -]", "", value)
     assert pii.iban_holds(made) if kind == "iban" else pii.luhn_digit(made[:-1]) == made[-1]
     assert pii.Pseudonyms().replace("not 4111 1111 1111 1112 12/27")[1] == []
+
+
+def _edited(rng, base, kind):
+    """A copy of a text with one kind of edit, of a random size."""
+    words = list(base)
+    if kind == "cut":
+        return words[: int(len(words) * rng.uniform(0.75, 0.98))]
+    if kind == "added":
+        return words + [f"tail{rng.integers(1 << 40)}" for _ in range(int(len(words) * rng.uniform(0.02, 0.3)))]
+    if kind == "block":
+        size = int(len(words) * rng.uniform(0.02, 0.12))
+        at = int(rng.integers(len(words) - size))
+        return words[:at] + [f"block{rng.integers(1 << 40)}" for _ in range(size)] + words[at + size :]
+    for at in rng.integers(len(words), size=max(1, int(len(words) * rng.uniform(0.001, 0.03)))):
+        words[at] = f"edit{rng.integers(1 << 40)}"
+    return words
+
+
+def test_near_copies_find_every_pair(spark):
+    """All pairs of 0.8 or more, by brute force over four kinds of edits; none below."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(40):
+        base = [f"v{w}" for w in rng.zipf(1.3, int(rng.integers(60, 400))) % 5000]
+        texts.append([f"start{k}", *base])
+        texts += [_edited(rng, texts[-1], kind) for kind in ("cut", "added", "block", "scattered") for _ in range(2)]
+    sets = [set(zip(t, t[1:], t[2:], t[3:], t[4:], strict=False)) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 5 * both >= 4 * (len(a) + len(sets[j]) - both):
+                old, new = sorted((root[i], root[j]), reverse=True)
+                root = [new if r == old else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in near_copies.near_copies(df).collect()}
+    assert got == dict(enumerate(root))
+    assert len(set(root)) < len(root) / 2
+
+
+def test_near_copies_keep_unrelated_rows(spark, empty):
+    """Rows are told by id and text: repeated and null ids, repeated rows, clashing names, an unlike text with the id of a copy."""
+    text = " ".join(f"word{i}" for i in range(200))
+    copy, other = text.replace("word7 ", "changed "), " ".join(f"none{i}" for i in range(200))
+    long = " ".join(f"l{i}" for i in range(60_000))
+    rows = [(3, text), (8, copy), (8, other), (None, copy + " more"), (None, "alone here as a text of its own"), (5, other + " end"), (9, long), (9, long), (4, None), (6, "")]
+    df = spark.createDataFrame([(i, t, "n", "g") for i, t in rows], "doc_id long, text string, node string, _id string")
+    kept = near_copies.firsts(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(3, text), (None, "alone here as a text of its own"), (5, other + " end"), (9, long), (4, None)], key=str)
+    assert near_copies.firsts(empty).count() == 0
+
+
+def test_near_copies_names_told_apart(spark):
+    rows = spark.createDataFrame([(1, 5, 10, "a"), (2, 5, 11, "b"), (3, 6, 12, "c")], "_id long, node long, _check long, _text string")
+    twins = spark.createDataFrame([(5, 10)], "node long, _least long")
+    assert sorted((r._id, r.node) for r in near_copies._told_apart(rows, twins).collect()) == [(1, 5), (2, 11), (3, 6)]
+
+
+def _simhash_plainly(text):
+    """Word by word and bit by bit, without the module's code."""
+    import xxhash
+
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", lowered) if x]
+    shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_against_brute_force(spark, docs):
+    rng = np.random.default_rng(3)
+    texts = [(i, t) for i, t in TEXTS if i != 7]
+    for k in range(30):
+        base = [f"W{x}" for x in rng.integers(400, size=150)]
+        for n in range(6):
+            words = list(base)
+            for at in rng.integers(150, size=n):
+                words[at] = f"x{rng.integers(1000)}"
+            texts.append((100 + 10 * k + n, " ".join(words)))
+    prints = [_simhash_plainly(t) for _, t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= 3 and root[i] != root[j]:
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    least = {r: min((texts[i][0] for i in range(len(texts)) if root[i] == r and texts[i][0] is not None), default=None) for r in set(root)}
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, fingerprint string")
+    got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted(((t[0], f"{p:016x}", least[r]) for t, p, r in zip(texts, prints, root, strict=True)), key=str)
+    assert len(least) < len(texts) - 20
+
+
+def test_simhash_dense_group(spark):
+    """A dense group: its links come as far fewer than its pairs, and none between groups is lost."""
+    rng = np.random.default_rng(4)
+    center = int(rng.integers(1 << 62))
+    values = {center} | {center ^ (1 << i) for i in range(60)} | {center ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)}
+    far = center ^ 0b1111 ^ (0b11 << 40)
+    values |= {far, far ^ (1 << 50), center ^ (0b11111 << 30)}
+    links = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(v,) for v in values], "fp long")).collect()}
+    assert all(a < b and (a ^ b).bit_count() <= 3 for a, b in links)
+
+    def components(pairs):
+        root = {v: v for v in values}
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = {v: new if r == old else r for v, r in root.items()}
+        return {frozenset(v for v in values if root[v] == r) for r in set(root.values())}
+
+    every = [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3]
+    assert components(links) == components(every) and len(links) < len(every) / 2
