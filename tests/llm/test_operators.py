@@ -135,32 +135,84 @@ def test_near_copies(spark, empty):
     assert near_copies.near_copies(empty).count() == 0
 
 
-def test_substring(docs, empty):
+def _without_repeats(rows):
+    """For each (id, text) the text that is left, by a table of all windows."""
     first = {}
-    ordered = sorted(((i, t) for i, t in TEXTS if i is not None), key=lambda x: x[0])
-    for i, t in ordered:
+    for i, t in sorted(((i, t) for i, t in rows if i is not None), key=lambda x: x[0]):
         w = words(t)
         for j in range(len(w) - 12):
             first.setdefault(tuple(w[j : j + 13]), i)
-    for r in substring_dedup.substring_dedup(docs, buckets=5).collect():
-        t = next(x for i, x in TEXTS if i == r.doc_id)
+    out = []
+    for i, t in rows:
         w, gone = words(t), set()
         for j in range(len(w) - 12):
-            if r.doc_id is not None and first[tuple(w[j : j + 13])] < r.doc_id:
+            if i is not None and first[tuple(w[j : j + 13])] < i:
                 gone |= set(range(j, j + 13))
         kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
-        assert (r.n_words, r.n_removed, r.kept_sha256) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
+        out.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def _deduplicated(df, **options):
+    made = substring_dedup.substring_dedup(df, **options).collect()
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in made), key=str)
+
+
+def _passages():
+    """Rows that share passages within and across tasks, repeat them inside, and share ids."""
+    rng = np.random.default_rng(2)
+    common = [[f"p{k}x{i}" for i in range(int(rng.integers(13, 60)))] for k in range(12)]
+    rows = []
+    for i in range(150):
+        parts = [[f"own{i}x{rng.integers(30)}" for _ in range(int(rng.integers(2, 20)))]]
+        for k in rng.integers(12, size=int(rng.integers(0, 4))):
+            parts += [common[k][int(rng.integers(3)) :], [f"own{i}y{rng.integers(30)}" for _ in range(int(rng.integers(0, 9)))]]
+        rows.append((int(rng.integers(100)), " ".join(w for p in parts for w in p)))
+    return [*rows, rows[0], rows[7], (500, " ".join(common[0] * 3)), (501, " ".join(["a"] * 40)), (502, " ".join(["a"] * 30)), (None, " ".join(common[1]))]
+
+
+def test_substring(spark, docs, empty):
+    assert _deduplicated(docs, buckets=5) == _without_repeats(TEXTS)
+    rows = _passages()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert _deduplicated(df, buckets=7) == _without_repeats(rows)
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-def test_substring_in_batches(docs):
-    whole = {r.doc_id: r.kept_sha256 for r in substring_dedup.substring_dedup(docs, buckets=4).collect()}
-    old, new = docs.filter("doc_id < 4"), docs.filter("doc_id >= 4")
+def test_substring_levels_and_tiers(spark, monkeypatch):
+    """Runs of few windows, merged in levels, and more buckets than parts of a run."""
+    for name, value in (("RUN_WINDOWS", 300), ("FAN", 2), ("MOST_PARTS", 4), ("BUCKET_WINDOWS", 200)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    rows = _passages()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert _deduplicated(df, buckets=11) == _without_repeats(rows)
+
+
+def test_substring_verifies_words(spark):
+    """Fingerprints that all agree remove nothing but what truly repeats."""
+
+    def alike(hashes):
+        n = max(0, len(hashes) - 12)
+        return np.zeros(n, np.uint64), np.zeros(n, np.uint32)
+
+    texts = [" ".join(f"t{i}w{k}" for k in range(40)) for i in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.substring_dedup(df, fingerprints=alike).collect()} == {0}
+
+
+def test_substring_in_batches(spark, docs):
+    rows = [(i, t) for i, t in [*TEXTS, *((i and i + 20, t) for i, t in _passages())] if i is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r[0]: [x for x in _without_repeats(rows) if x[0] == r[0]] for r in rows}
+    old, new = df.filter("doc_id < 60"), df.filter("doc_id >= 60")
     index = substring_dedup.compacted_index(old, 4)
-    for r in substring_dedup.substring_dedup(new, history=index, buckets=4).collect():
-        assert r.kept_sha256 == whole[r.doc_id]
+    for options in ({}, {"earlier": old}):
+        made = _deduplicated(new, history=index, buckets=4, **options)
+        assert made == sorted((x for i, w in whole.items() if i >= 60 for x in w), key=str)
     both = substring_dedup.compacted_index(new, 4, history=index)
     assert both.groupBy("bucket").count().filter("count > 1").count() == 0
+    with pytest.raises(ValueError, match="rising"):
+        substring_dedup.substring_dedup(old, history=index, buckets=4)
 
 
 def test_bpe(docs, empty):
