@@ -1,16 +1,19 @@
 """Best-fit packing of documents into fixed-length sequences by pattern packing.
 
 Only the histogram of piece lengths (at most ``size`` numbers) reaches the driver.
-There, few-document patterns that fill a sequence are enumerated, repeat counts are
-fitted to the histogram by non-negative least squares and rounded down, and what is
-left over is packed best fit, longest first, again by length and repeat count.  The
+There, repeat counts of few-document patterns are fitted to the histogram by non-negative
+least squares and rounded down.  The patterns come by column generation: each round weighs
+all patterns of two to four documents and takes the fullest and heaviest for every length.
+What is left over is packed best fit, longest first, again by length and repeat count.  The
 plan maps (length, rank among the pieces of that length) to a sequence and an offset;
 its size depends on ``size`` and not on the number of documents.  Ranks come from
 salted windows, so that a frequent length is spread over many tasks.
 
 Defined cases: a null text counts as the empty text, whose only token is the end
-token; pieces start so that all but the first have the full length; repeated rows
-are packed once each; an empty table gives an empty result; extra columns are ignored.
+token; very long texts are encoded whole and cut to pieces, of which all but the first
+have the full length; repeated rows are packed once each, null ids too; pieces of one
+length are alike to the plan, ties go by id, piece and checksum; an empty table gives an
+empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +31,11 @@ from .common import staged, worker_state
 
 SIZE = 1024
 END_ID = 2
-#: Patterns of up to so many documents are enumerated.
+#: Patterns are of up to so many documents.
 PATTERN_DOCS = 4
-_MOST_PATTERNS = 6000
-_SWEEPS = 40
+#: Rounds of new patterns, and sweeps over all counts in a round, at most; what is not
+#: fitted by then is packed best fit, as is a share of this much.
+_ROUNDS, _SWEEPS, _ENOUGH = 40, 20, 0.002
 #: Rows that one rank window may hold on average.
 _RANK_ROWS = 200_000
 
@@ -113,36 +117,43 @@ def _largest(have: np.ndarray, most: int) -> int:
     return int(found[-1]) if len(found) else 0
 
 
-def enumerate_patterns(have: np.ndarray, size: int) -> list[tuple[int, ...]]:
-    """Patterns of two to ``PATTERN_DOCS`` lengths that fill a sequence, fullest first."""
-    lengths = [int(x) for x in np.flatnonzero(have) if x < size]
-    found: dict[tuple[int, ...], int] = {}
-
-    def add(parts: list[int]) -> None:
-        rest = size - sum(parts)
-        last = _largest(have, rest) if rest > 0 else 0
-        if last:
-            parts = [*parts, last]
-        found[tuple(sorted(parts, reverse=True))] = size - sum(parts)
-
-    fillers = lengths[:: max(1, len(lengths) // 24)]
-    for a in lengths:
-        add([a])
-        for b in fillers:
-            if a + b < size:
-                add([a, b])
-    for i, b in enumerate(fillers):
-        for c in fillers[: i + 1]:
-            for a in lengths[:: max(1, len(lengths) // 64)]:
-                if a + b + c < size and PATTERN_DOCS > 3:
-                    add([a, b, c])
-    return [p for p, _ in sorted(found.items(), key=lambda x: (x[1], len(x[0]), x[0]))][:_MOST_PATTERNS]
-
-
-def fit_counts(patterns: list[tuple[int, ...]], wanted: np.ndarray) -> np.ndarray:
-    """Repeat counts by non-negative least squares (cyclic coordinate descent)."""
-    rest, counts = wanted.astype(float).copy(), np.zeros(len(patterns))
+def propose_patterns(have: np.ndarray, weight: np.ndarray, size: int) -> list[tuple[int, ...]]:
+    """For each length the best pattern that has it, of all patterns of two to ``PATTERN_DOCS`` lengths.
+
+    Best is what leaves the smallest gap, and then has the largest weight.  All patterns are
+    weighed, by sums of one to ``PATTERN_DOCS`` - 1 lengths; none is left out of the choice.
+    """
+    lengths = [int(x) for x in np.flatnonzero(have[:size])]
+    best = np.full((PATTERN_DOCS, size + 1), -np.inf)  # best[k, s]: weight of k lengths that add up to s
+    last = np.zeros((PATTERN_DOCS, size + 1), np.int32)  # and one of those lengths
+    best[0, 0] = 0.0
+    for k in range(1, PATTERN_DOCS):
+        for length in lengths:
+            made = best[k - 1, : size + 1 - length] + weight[length]
+            better = made > best[k, length:]
+            best[k, length:][better] = made[better]
+            last[k, length:][better] = length
+    docs = best[1:].argmax(0) + 1
+    reached = np.flatnonzero(best[1:].max(0) > -np.inf)
+    found = {}
+    for length in lengths:
+        at = np.searchsorted(reached, size - length, side="right") - 1
+        if at < 0:
+            continue
+        rest, parts = int(reached[at]), [length]
+        for k in range(int(docs[rest]), 0, -1):
+            parts.append(int(last[k, rest]))
+            rest -= parts[-1]
+        found[tuple(sorted(parts, reverse=True))] = None
+    return list(found)
+
+
+def fit_counts(patterns: list[tuple[int, ...]], wanted: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Repeat counts by non-negative least squares (cyclic coordinate descent), and what they leave."""
+    rest, counts = wanted.astype(float).copy(), counts.copy()
     columns = [np.unique(np.array(p), return_counts=True) for p in patterns]
+    for (at, times), count in zip(columns, counts, strict=True):
+        rest[at] -= times * count
     norms = [float((m * m).sum()) for _, m in columns]
     for _ in range(_SWEEPS):
         moved = 0.0
@@ -154,7 +165,27 @@ def fit_counts(patterns: list[tuple[int, ...]], wanted: np.ndarray) -> np.ndarra
                 moved = max(moved, abs(step))
         if moved < 0.5:
             break
-    return counts
+    return counts, rest
+
+
+def choose_patterns(wanted: np.ndarray, size: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """Patterns and their fitted counts, by column generation.
+
+    What the fit leaves of the histogram weighs the lengths of the next round's patterns,
+    until a round proposes none that is new or leaves no less.
+    """
+    patterns: list[tuple[int, ...]] = []
+    counts, rest, left = np.zeros(0), wanted.astype(float), np.inf
+    for _ in range(_ROUNDS):
+        known = set(patterns)
+        new = [p for p in propose_patterns(wanted, rest, size) if p not in known]
+        if not new or not _ENOUGH * wanted.sum() < np.abs(rest).sum() <= 0.995 * left:
+            break
+        left = np.abs(rest).sum()
+        counts, rest = fit_counts([*patterns, *new], wanted, np.concatenate([counts, np.zeros(len(new))]))
+        used = np.flatnonzero(counts)
+        patterns, counts = [[*patterns, *new][j] for j in used], counts[used]
+    return patterns, counts
 
 
 def plan(histogram: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -170,12 +201,12 @@ def plan(histogram: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...],
 
     if left[size]:
         use((size,), int(left[size]))
-    patterns = enumerate_patterns(left, size)
-    counts = fit_counts(patterns, left)
+    patterns, counts = choose_patterns(left, size)
+    least = int(np.flatnonzero(left)[0]) if left.any() else 0
     for j in np.argsort(-counts, kind="stable"):
-        if counts[j] < 1:
-            break
-        use(patterns[j], int(counts[j]))
+        # a pattern with room for one more piece is no good one
+        if counts[j] >= 1 and size - sum(patterns[j]) < least:
+            use(patterns[j], int(counts[j]))
     while left.any():
         pattern, gap, spare = [], size, left.copy()
         while gap and (length := _largest(spare, gap)):
