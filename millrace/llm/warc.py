@@ -5,8 +5,9 @@ of equal payloads as a response, later ones as revisits that refer to it.  Captu
 are sorted by reversed-host key and written as compressed blocks of lines; the sparse
 directory keeps the first key, file, offset and length of each block.  A lookup finds
 the block by binary search in the directory, the lines by binary search in the block,
-and then reads just the records' byte ranges.  Blocks grow with the number of
-captures, so that the directory never has more than about ``MOST_BLOCKS`` rows.
+and then reads just the records' byte ranges.  Blocks have the same size in an archive
+of any size: a directory of more than ``MOST_BLOCKS`` rows is itself written as sorted
+blocks under a sparser directory, and so on, until the top is that small.
 
 Files are named by attempt and listed in a table that Spark commits, so a task that
 runs twice leaves an unlisted file and no double records.
@@ -15,7 +16,8 @@ Defined cases: a null payload counts as empty; payloads under ``REVISIT_BYTES``
 always responses; a null URL is captured as ``urn:page:<id>``; repeats of one row (same
 id) are written once each and are responses if their id is the smallest; a null id is
 never the one referred to unless its group has no other, and then all are responses;
-an empty table gives an empty result; extra columns are ignored.
+an empty table gives an empty result; very long payloads are written and read one at a
+time; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,21 +34,24 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_path, staged, text_or_empty
 
 REVISIT_BYTES = 100
-#: Lines in a block at least.
+#: Lines in a block at least, and rows of a directory that is kept as a table at most.
 BLOCK_LINES = 1000
 MOST_BLOCKS = 100_000
+#: Payload bytes that a reader holds before it passes them on, and bytes of records for a task.
+BATCH_BYTES, TASK_BYTES = 8 << 20, 4 << 20
 #: A WARC file is closed at this size.
 FILE_BYTES = 1 << 30
 #: Fixed value: the capture time, as pages carry none.
 CAPTURED = "1970-01-01T00:00:00Z"
 
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
+_PLACES = "key binary, file string, offset long, length long"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -54,6 +59,8 @@ class Archive(NamedTuple):
     """Where an archive lies and its sparse directory: parallel lists sorted by first key."""
 
     path: str
+    bytes: int  # of all records
+    levels: int  # of blocks under this directory
     first: list[bytes]
     block: list[tuple[str, int, int]]  # index file, offset, length
 
@@ -173,12 +180,13 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 out.close()
 
     types = [pa.binary(), pa.string(), pa.int64(), pa.int64()]
-    captures = staged(marked.mapInArrow(write, "key binary, file string, offset long, length long"), "warc-captures")
-    return _write_index(spark, captures, path)
+    captures = staged(marked.mapInArrow(write, _PLACES), "warc-captures")
+    return _write_index(captures, path)
 
 
-def _write_index(spark: SparkSession, captures: DataFrame, path: str) -> Archive:
-    lines = max(BLOCK_LINES, -(-captures.count() // MOST_BLOCKS))
+def _write_blocks(rows: DataFrame, path: str) -> DataFrame:
+    """Sorted (key, file, offset, length) rows as blocks of lines; the same of each block, by its first key."""
+    lines = BLOCK_LINES
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _store(path)
@@ -194,7 +202,7 @@ def _write_index(spark: SparkSession, captures: DataFrame, path: str) -> Archive
                 at += len(block)
                 pending.clear()
                 arrays = [pa.array(c, t) for c, t in zip(row, types, strict=True)]
-                return pa.RecordBatch.from_arrays(arrays, ["first", "file", "offset", "length"])
+                return pa.RecordBatch.from_arrays(arrays, ["key", "file", "offset", "length"])
 
             for batch in batches:
                 columns = (batch.column(c).to_pylist() for c in ("key", "file", "offset", "length"))
@@ -210,10 +218,65 @@ def _write_index(spark: SparkSession, captures: DataFrame, path: str) -> Archive
                 out.close()
 
     types = [pa.binary(), pa.string(), pa.int64(), pa.int64()]
-    ordered = captures.repartitionByRange("key").sortWithinPartitions("key")
-    directory = staged(ordered.mapInArrow(write, "first binary, file string, offset long, length long"), "warc-directory")
-    rows = sorted((bytes(r.first), (r.file, r.offset, r.length)) for r in directory.collect())  # bounded by MOST_BLOCKS
-    return Archive(path, [k for k, _ in rows], [b for _, b in rows])
+    ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
+    return staged(ordered.mapInArrow(write, _PLACES), "warc-directory")
+
+
+def _write_index(captures: DataFrame, path: str) -> Archive:
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    directory, levels = _write_blocks(captures, path), 1
+    while directory.count() > MOST_BLOCKS:
+        directory, levels = _write_blocks(directory, path), levels + 1
+    rows = sorted((bytes(r.key), (r.file, r.offset, r.length)) for r in directory.collect())  # MOST_BLOCKS at most
+    return Archive(path, size, levels, [k for k, _ in rows], [b for _, b in rows])
+
+
+class _Blocks:
+    """Binary search through the directory and the levels of blocks; the last block of each level is kept."""
+
+    def __init__(self, archive: Archive, store: pa.fs.FileSystem, folder: str) -> None:
+        self.archive, self.store, self.folder = archive, store, folder
+        self.place: list[tuple | None] = [None] * archive.levels
+        self.lines: list[list[bytes]] = [[]] * archive.levels
+        self.keys: list[list[bytes]] = [[]] * archive.levels
+
+    def _open(self, level: int, place: tuple[str, int, int]) -> None:
+        if self.place[level] == place:
+            return
+        file, offset, length = place
+        with self.store.open_input_file(f"{self.folder}/{file}") as f:
+            self.lines[level] = zlib.decompress(f.read_at(length, offset)).split(b"\n")
+        self.keys[level] = [line.rsplit(b" ", 3)[0] for line in self.lines[level]]
+        self.place[level] = place
+
+    def places(self, key: bytes) -> Iterator[tuple[str, int, int]]:
+        """File, offset and length of the captures of a key."""
+        at = bisect.bisect_right(self.archive.first, key) - 1
+        if at < 0:
+            return
+        place = self.archive.block[at]
+        for level in range(self.archive.levels - 1, 0, -1):
+            self._open(level, place)
+            at = bisect.bisect_right(self.keys[level], key) - 1
+            place = _place(self.lines[level][at])
+        self._open(0, place)
+        for at in range(bisect.bisect_left(self.keys[0], key), bisect.bisect_right(self.keys[0], key)):
+            yield _place(self.lines[0][at])
+
+
+def _place(line: bytes) -> tuple[str, int, int]:
+    file, offset, length = line.rsplit(b" ", 3)[1:]
+    return file.decode(), int(offset), int(length)
+
+
+def _read_row(member: bytes, file: str, offset: int) -> tuple:
+    """Page id, payload bytes, digest, type, page referred to, payload of one record."""
+    fields, size, payload = read_record(member)
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+    kind, page, refers = fields["WARC-Type"], fields["Page-ID"], fields.get("Page-Refers-To")
+    if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+        raise ValueError(f"record at {file}:{offset} does not match its digest")
+    return int(page) if page else None, size, digest, kind, int(refers) if refers else None, payload if kind == "response" else None
 
 
 def lookup(archive: Archive, wanted: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -230,50 +293,30 @@ def lookup(archive: Archive, wanted: DataFrame, id_col: str = "page_id", url_col
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _store(archive.path)
-        number, lines = -1, []
+        blocks = _Blocks(archive, store, folder)
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
         for batch in batches:
-            places = []
-            for key in batch.column(0).to_pylist():
-                block = bisect.bisect_right(archive.first, key) - 1
-                if block < 0:
-                    continue
-                if block != number:
-                    file, offset, length = archive.block[block]
-                    with store.open_input_file(f"{folder}/{file}") as f:
-                        lines, number = zlib.decompress(f.read_at(length, offset)).split(b"\n"), block
-                at = bisect.bisect_left(lines, key + b" ")
-                while at < len(lines) and lines[at].startswith(key + b" "):
-                    file, offset, length = lines[at][len(key) + 1 :].split(b" ")
-                    places.append((file.decode(), int(offset), int(length)))
-                    at += 1
-            rows, opened, f = [], "", None
-            for file, offset, length in sorted(places):
-                if file != opened:
-                    if f:
-                        f.close()
-                    opened, f = file, store.open_input_file(f"{folder}/{file}")
-                fields, size, payload = read_record(f.read_at(length, offset))
-                digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                kind = fields["WARC-Type"]
-                if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                    raise ValueError(f"record at {file}:{offset} does not match its digest")
-                refers = fields.get("Page-Refers-To")
-                page = fields["Page-ID"]
-                rows.append(
-                    (
-                        int(page) if page else None,
-                        size,
-                        digest,
-                        kind,
-                        int(refers) if refers else None,
-                        payload if kind == "response" else None,
-                    )
-                )
-            if f:
-                f.close()
+            places = sorted(p for key in batch.column(0).to_pylist() for p in blocks.places(key))
+            rows, held, opened, f = [], 0, "", None
+            try:
+                for file, offset, length in places:
+                    if file != opened:
+                        if f:
+                            f.close()
+                        opened, f = file, store.open_input_file(f"{folder}/{file}")
+                    rows.append(_read_row(f.read_at(length, offset), file, offset))
+                    held += len(rows[-1][5] or b"")
+                    if held >= BATCH_BYTES:
+                        yield table(rows)
+                        rows, held = [], 0
+            finally:
+                if f:
+                    f.close()
             if rows:
-                arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                yield table(rows)
 
     names = [id_col, "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -281,4 +324,5 @@ def lookup(archive: Archive, wanted: DataFrame, id_col: str = "page_id", url_col
         f"{id_col} long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     )
     asked = wanted.select(F.col(id_col).cast("long"), url_col).mapInArrow(keys, "key binary").distinct()
-    return asked.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(read, schema)
+    tasks = max(1, -(-archive.bytes // TASK_BYTES))  # keys are small: what they lead to counts
+    return asked.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(read, schema)

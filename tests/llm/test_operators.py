@@ -276,6 +276,39 @@ def test_packing_plan_is_near_the_bound():
     assert sum(n for _, n in plan) <= 1.002 * -(-int((h * np.arange(1025)).sum()) // 1024) + 1
 
 
+def test_packing_weighs_all_patterns():
+    """For each length the fullest and heaviest of all patterns of two to four lengths, by enumeration."""
+    from itertools import combinations_with_replacement
+
+    rng = np.random.default_rng(1)
+    for size in (9, 16, 23):
+        have = rng.integers(0, 2, size + 1)
+        have[[0, size]] = 0
+        weight = rng.random(size + 1)
+        lengths = np.flatnonzero(have).tolist()
+        every = [p for k in (2, 3, 4) for p in combinations_with_replacement(lengths, k) if sum(p) <= size]
+        got = packing.propose_patterns(have, weight, size)
+        rank = lambda p: (sum(p), sum(weight[x] for x in p))
+        for length in lengths:
+            best = max((rank(p) for p in every if length in p), default=None)
+            found = [rank(p) for p in got if length in p]
+            assert best is None or any(f[0] == best[0] and abs(f[1] - best[1]) < 1e-9 for f in found)
+        assert all(2 <= len(p) <= 4 and sum(p) <= size for p in got)
+
+
+def test_packing_plan_uses_four_documents():
+    """A dense histogram of 2 million pieces: near the bound, with patterns of every size."""
+    rng = np.random.default_rng(0)
+    x = np.maximum(1, rng.lognormal(6, 1, 2_000_000).astype(int))
+    h = np.bincount(np.where(x > 1024, x % 1024 + (x % 1024 == 0), x), minlength=1025)
+    plan = packing.plan(h)
+    by_size = Counter()
+    for pattern, n in plan:
+        by_size[len(pattern)] += n
+    assert min(by_size[k] for k in (2, 3, 4)) > 100
+    assert sum(by_size.values()) <= 1.0005 * -(-int((h * np.arange(1025)).sum()) // 1024)
+
+
 def test_license(docs, empty):
     got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
     assert (got[8].n_base, got[8].first_word, got[8].last_word) == (2, 3, 8)
@@ -322,6 +355,29 @@ def test_warc(spark):
     assert warc.lookup(none, pages).count() == 0
 
 
+def test_warc_levels_and_odd_rows(spark, monkeypatch):
+    """Directories of directories; repeated rows, null ids, long payloads and clashing column names."""
+    for name, value in (("BLOCK_LINES", 3), ("MOST_BLOCKS", 4), ("BATCH_BYTES", 2000), ("TASK_BYTES", 4000)):
+        monkeypatch.setattr(warc, name, value)
+    rng = np.random.default_rng(0)
+    rows = [(i, f"http://h{rng.integers(9)}.org/p{rng.integers(30)}", f"<p>{rng.integers(40)}</p>" * 60) for i in range(120)]
+    rows += [rows[5], rows[5], (None, "http://h1.org/p1", "null id " * 40), (None, None, None), (500, "http://long.org/", "x" * 1_500_000), (501, "http://long.org/", "x" * 1_500_000)]
+    pages = spark.createDataFrame([(*r, b"p", "d") for r in rows], "page_id long, url string, html string, payload binary, digest string")
+    archive = warc.write_archive(pages)
+    assert archive.levels > 2 and len(archive.first) <= 4
+    first = {}
+    for i, _, html in rows:
+        if i is not None:
+            first[html or ""] = min(first.get(html or "", i), i)
+    want = []
+    for i, _, html in rows:
+        body = html or ""
+        again = len(body) >= 100 and body in first and i != first[body]
+        want.append((i, len(body), hashlib.sha256(body.encode()).hexdigest(), "revisit" if again else "response", first[body] if again else None, None if again else len(body)))
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else len(r.payload)) for r in warc.lookup(archive, pages).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_classifier(spark, empty):
     rng = np.random.default_rng(0)
     good = [" ".join(rng.choice(["river", "stone", "walks", "evening", "paper"], 60)) + "." for _ in range(150)]
