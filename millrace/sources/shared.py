@@ -61,4 +61,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._staged_path = path
+    return found
+
+
+def released(*tables: DataFrame) -> None:
+    """Remove tables of :func:`staged` that nothing will read again."""
+    for table in tables:
+        remove(table.sparkSession, table._staged_path)
