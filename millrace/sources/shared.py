@@ -24,13 +24,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what it holds goes when the driver ends."""
     root = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
     if root not in _ROOTS:
-        _ROOTS[root] = spark
-        if len(_ROOTS) == 1:
-            atexit.register(_remove_all)
+        _ROOTS.add(root)
+        atexit.register(_remove_root, root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-_ROOTS: dict[str, SparkSession] = {}
+_ROOTS: set[str] = set()
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -40,16 +39,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _remove_all() -> None:
-    for root, spark in _ROOTS.items():
-        try:
-            if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-                remove(spark, root)
-                continue
-        except Exception:  # noqa: BLE001  the session is on its way out
-            pass
-        if root.startswith(("file:", "/")):
-            shutil.rmtree(re.sub("^file:/*", "/", root), ignore_errors=True)
+def _remove_root(root: str) -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and not spark.sparkContext._jsc.sc().isStopped():
+            remove(spark, root)
+            return
+    except Exception:  # noqa: BLE001  the session is on its way out
+        pass
+    if root.startswith(("file:", "/")):
+        shutil.rmtree(re.sub("^file:/*", "/", root), ignore_errors=True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
