@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import uuid
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import released, shared_dir, shared_path, staged
+
+__all__ = ["WORD_GAP", "documents", "released", "shared_dir", "shared_path", "staged", "store_of", "text_or_empty", "tokenizer_path", "worker_state"]
+
 #: ASCII white space that separates words: \x20 and \x09-\x0D.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
@@ -28,44 +30,11 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, a laptop) is it a folder of the
-    warehouse, which is shared by definition.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_millrace").rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what it holds goes when the driver ends."""
-    root = f"{shared_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
-    if root not in _ROOTS:
-        _ROOTS.add(root)
-        atexit.register(_remove, root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
-_ROOTS: set[str] = set()
-
-
-def _remove(root: str) -> None:
-    """Remove a folder that the driver can reach; in other stores the cluster's own rules apply."""
-    if root.startswith(("file:", "/")):
-        shutil.rmtree(re.sub("^file:/*", "/", root), ignore_errors=True)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write *df* to the shared folder and read it back.
-
-    Lineage ends at the written table, so a lost executor costs a re-read and
-    not a recomputation; joins of two such tables have a plain exchange on both
-    sides, which lets adaptive execution split skewed keys.
-    """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def store_of(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder that driver and executors share, and the folder's name in it."""
+    if "://" not in path and not path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), path
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
 
 
 def worker_state() -> dict:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import staged, text_or_empty
+from .common import released, staged, text_or_empty
 from .components import connected_components
 from .linking import pairs_across, with_groups
 
@@ -53,6 +53,8 @@ SHINGLE = 5
 #: One text of so many is sampled; shingles found so often there are frequent, the
 #: most frequent at most so many (8 bytes each in every task).
 SAMPLE, OFTEN, MOST = 16, 3, 1_000_000
+#: Bits that tell at the scan which texts have candidates, at most (32 MB in every task).
+MOST_BITS = 1 << 28
 _CACHED_WORDS = 200_000
 _PARITY = [f"p{i}" for i in range(8)]
 _MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -143,11 +145,31 @@ def _indexed(named: DataFrame) -> DataFrame:
     return named.select("node", "_text").mapInArrow(run, f"node long, n int, fp long, {longs}, keys array<long>")
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Words()
-    for batch in batches:
-        sets = [shingle_hashes(t.as_py(), known).tobytes() for t in batch.column("_text")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """Bits by the low digits of the nodes, about 16 for each node and ``MOST_BITS`` at most, as bytes."""
+    bits = min(MOST_BITS, 1 << max(20, (16 * nodes.count()).bit_length()))
+    at = F.pmod("node", F.lit(bits)) + 1
+    made = nodes.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in made.collect():  # 4096 bytes each, bits / 8 in all
+        out[4096 * (r.part - 1) : 4096 * r.part] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _sets(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, set) of the *wanted* nodes: texts stay where they are read, most of the others are passed over there."""
+    bitmap = _bitmap(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for batch in batches:
+            at = np.mod(batch.column("node").to_numpy(zero_copy_only=False), 8 * len(bitmap))
+            rows = pa.array(np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1))
+            sets = [shingle_hashes(t.as_py(), known).tobytes() for t in batch.column("_text").take(rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(rows), pa.array(sets, pa.binary())], ["node", "set"])
+
+    sets = named.select("node", "_text").mapInArrow(run, "node long, set binary")
+    return sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,13 +242,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame
     # similar sets differ in (OF - NEAR) of (OF + NEAR) parts of their elements at most
     close = (OF + NEAR) * apart <= (OF - NEAR) * (F.col("a_n") + F.col("b_n"))
     pairs = staged(pairs.join(x, "a").join(y, "b").filter(close).select("a", "b"), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # hashing the narrow side spares the texts a sort
-    texts = named.select("node", "_text").join(wanted.hint("shuffle_hash"), "node", "left_semi")
-    sets = texts.mapInArrow(_shingle_sets, "node long, set binary")
-    sets = staged(sets.groupBy("node").agg(F.first("set").alias("set")), "near-sets")
+    wanted = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-wanted")
+    sets = staged(_sets(named, wanted), "near-sets")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    return staged(both.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long"), "near-links")
+    links = staged(both.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long"), "near-links")
+    released(pairs, wanted, sets)
+    return links
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -255,10 +276,15 @@ def _groups(named: DataFrame) -> DataFrame:
     nodes = nodes.drop("fp")
     links = _verified(found, nodes, named)
     plain = staged(_postings(index), "near-postings")
+    released(index)
     postings = _grouped(plain, connected_components(links))
     links = links.union(_verified(_ties(postings), nodes, named))
+    released(postings)
     postings = _grouped(plain, connected_components(links))
-    return connected_components(links.union(_verified(_meetings(postings), nodes, named)))
+    released(plain)
+    links = links.union(_verified(_meetings(postings), nodes, named))
+    released(postings)
+    return connected_components(links)
 
 
 def _labelled(named: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import released, staged
 from .components import connected_components
 from .linking import pairs_across, with_groups
 
@@ -78,9 +78,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints at most ``MAX_BITS`` apart.
+    """Pairs (a, b), a < b, of distinct fingerprints at most ``MAX_BITS`` apart, as a written table.
 
-    ``distinct`` has one column ``fp`` without repeats.
+    ``distinct`` has one column ``fp`` without repeats.  Of a dense group not all pairs
+    come, but enough to connect it as all would.
     """
     fp = F.col("fp")
     segments = F.array(
@@ -105,15 +106,16 @@ def links(distinct: DataFrame) -> DataFrame:
     own = staged(with_groups(table, groups, "a"), "simhash-own")
     asked = staged(with_groups(shared.select("seg", "key", "b"), groups, "b"), "simhash-asked")
     found = pairs_across(own, asked, ["seg", "key"]).filter(close).select(*ordered)
-    return stars.union(found).distinct()
+    found = staged(stars.union(found).distinct(), "simhash-links")
+    released(met, stars, own, asked)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for every row of *docs*."""
     rows = staged(fingerprints(docs, id_col, text_col), "simhash-rows")
     classes = staged(rows.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-classes")
-    edges = staged(links(classes.select("fp")), "simhash-links")
-    component = connected_components(edges)
+    component = connected_components(links(classes.select("fp")))
     labelled = classes.join(component.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("root")
     )

@@ -37,7 +37,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, staged, text_or_empty
+from .common import shared_path, staged, store_of, text_or_empty
 
 REVISIT_BYTES = 100
 #: Lines in a block at least, and rows of a directory that is kept as a table at most.
@@ -65,13 +65,6 @@ class Archive(NamedTuple):
     block: list[tuple[str, int, int]]  # index file, offset, length
 
 
-def _store(path: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system of a folder that driver and executors share."""
-    if "://" not in path and not path.startswith("file:"):
-        return pa.fs.LocalFileSystem(), path
-    return pa.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-
-
 def capture_key(url: str) -> str:
     """The URL with its host reversed, so that a domain's captures lie together."""
     try:
@@ -154,7 +147,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(path)
+        store, folder = store_of(path)
         store.create_dir(folder, recursive=True)
         out, name, at = None, "", 0
         try:
@@ -189,7 +182,7 @@ def _write_blocks(rows: DataFrame, path: str) -> DataFrame:
     lines = BLOCK_LINES
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(path)
+        store, folder = store_of(path)
         name, at, pending, out = f"{uuid.uuid4().hex}.idx", 0, [], None
         try:
 
@@ -292,7 +285,7 @@ def lookup(archive: Archive, wanted: DataFrame, id_col: str = "page_id", url_col
             yield pa.RecordBatch.from_arrays([pa.array([_line_key(_url(u, i), i) for i, u in pairs], pa.binary())], ["key"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(archive.path)
+        store, folder = store_of(archive.path)
         blocks = _Blocks(archive, store, folder)
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
