@@ -449,13 +449,13 @@ def test_rules_long_lines_of_few_words(spark):
     ],
 )
 def test_pii_with_more_behind_it(text, value, kind):
-    new, kinds = pii.Pseudonyms().replace(text)
+    new, kinds = pii.Pseudonyms("key").replace(text)
     head, tail = text.split(value)
     assert kinds == [kind] and new.startswith(head) and new.endswith(tail) and len(new) == len(text)
     made = re.sub(r"[ -]", "", new[len(head) : len(new) - len(tail)])
     assert made != re.sub(r"[ -]", "", value)
     assert pii.iban_holds(made) if kind == "iban" else pii.luhn_digit(made[:-1]) == made[-1]
-    assert pii.Pseudonyms().replace("not 4111 1111 1111 1112 12/27")[1] == []
+    assert pii.Pseudonyms("key").replace("not 4111 1111 1111 1112 12/27")[1] == []
 
 
 def _edited(rng, base, kind):
@@ -570,3 +570,90 @@ def test_simhash_dense_group(spark):
 
     every = [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3]
     assert components(links) == components(every) and len(links) < len(every) / 2
+
+
+def _valid(kind, text):
+    """Whether a text is a value of its kind, by plain checks."""
+    import ipaddress
+    from datetime import date
+
+    digits = re.sub(r"\D", "", text)
+    if kind == "card":
+        total = sum(d if i % 2 == 0 else 2 * d - 9 * (2 * d > 9) for i, d in enumerate(map(int, reversed(digits))))
+        return total % 10 == 0 and 13 <= len(digits) <= 19
+    if kind == "iban":
+        plain = text.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    if kind == "ssn":
+        a, g, s = text.split("-")
+        return a not in ("000", "666") and a < "900" and g != "00" and s != "0000"
+    if kind == "ipv4":
+        return bool(ipaddress.IPv4Address(text))
+    if kind == "date":
+        return bool(date.fromisoformat(text))
+    if kind == "secret":
+        return bool(re.fullmatch(r"[0-9a-f]{32,128}|[0-9A-F]{32,128}", text))
+    return True
+
+
+def test_pii_values_keep_kind_shape_and_links():
+    """Planted values of every kind: all are found and replaced by valid ones of the same shape; nothing else moves."""
+    rng = np.random.default_rng(0)
+    d = lambda n: "".join(map(str, rng.integers(10, size=n)))
+
+    def iban():
+        body = f"{'WEST' if rng.integers(2) else d(4)}{d(14)}"
+        check = 98 - int("".join(str(int(c, 36)) for c in body + "GB00")) % 97
+        return f"GB{check:02d}{body}"
+
+    def card():
+        body = "4" + d(14)
+        return next(body + c for c in "0123456789" if _valid("card", body + c))
+
+    makers = {
+        "card": card,
+        "iban": iban,
+        "ssn": lambda: f"{rng.integers(1, 666):03d}-{rng.integers(1, 100):02d}-{rng.integers(1, 10000):04d}",
+        "ipv4": lambda: ".".join(map(str, rng.integers(256, size=4))),
+        "date": lambda: f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}",
+        "secret": lambda: "a1" + "".join(rng.choice(list("0123456789abcdef"), 38)),
+        "phone": lambda: f"+1 ({rng.integers(200, 999)}) {rng.integers(200, 999)}-{d(4)}",
+        "email": lambda: f"{rng.choice(['Ann', 'bo', 'C.d'])}{d(3)}@Mail{rng.integers(9)}.example.org",
+    }
+    replace, seen = pii.Pseudonyms("key").replace, {}
+    for _ in range(400):
+        planted = [(k, makers[k]()) for k in rng.choice(list(makers), 4)]
+        text = " | ".join(f"wörd{i} {v} then" for i, (_, v) in enumerate(planted))
+        new, kinds = replace(text)
+        assert kinds == [k for k, _ in planted]
+        parts = re.fullmatch(" \\| ".join(f"wörd{i} (.*) then" for i in range(4)), new).groups()
+        for (kind, old), made in zip(planted, parts, strict=True):
+            shape = [re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d+" if kind == "ipv4" else r"\d", "9", v))) for v in (old, made)]
+            assert _valid(kind, made) and made != old and shape[0] == shape[1] or kind == "secret" and _valid(kind, made)
+            assert seen.setdefault((kind, old), made) == made
+    assert len(set(seen.values())) == len(seen)
+    none = "0" * 20 + " or 000-12-3456 or 666-12-3456 or 999.1.1.1 or 2021-02-30 or 4111111111111112"
+    assert replace(none) == (none, [])
+
+
+@pytest.mark.parametrize("unit", ["a", "1", "0123456789abcdef", "a@", "a.b", "Zz9+"])
+def test_pii_long_runs_take_time_in_proportion(unit):
+    import time
+
+    replace = pii.Pseudonyms("key").replace
+    start = time.perf_counter()
+    replace(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - start < 10
+
+
+def test_pii_key_and_columns(spark):
+    df = spark.createDataFrame([(1, "call +1 (743) 555-3824", 9), (1, "call +1 (743) 555-3824", 9), (None, None, 9)], "doc_id long, text string, n_pii int")
+    texts = [r.text for r in pii.pseudonymise(df).orderBy("doc_id").collect()]
+    assert texts[0] is None and texts[1] == texts[2] != "call +1 (743) 555-3824"
+    assert pii.pseudonymise(df).columns == ["doc_id", "text", "n_pii", "pii_kinds"]
+    assert {r.text for r in pii.pseudonymise(df, key="other").collect()} != set(texts)
+    spark.conf.set(pii.KEY_SETTING, "given")
+    try:
+        assert pii.key_of(spark) == "given"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
