@@ -1,20 +1,26 @@
 """Licence scan with a positional rare-token index.
 
 Templates are word lists.  Document frequencies of the template words are counted
-over all documents (their number is that of the template words); each template is
-indexed by its rarest words with their positions.  A file is looked up by those
-words: every hit votes for the relative position at which the template would start,
-votes are intersected, and an aligned template counts when enough of its words stand
-in place and all its key phrases do.
+over all documents (their number is that of the template words) and give each word its
+inverse document frequency.  Every template is indexed by its rarest words with their
+positions: one and ``VOTES`` more than the words that a copy may have changed, so that
+each place with enough words in place meets at least ``VOTES`` postings.  A file is looked
+up by the indexed words that it has, highest inverse document frequency first; each hit
+votes for the relative position at which a template would start, votes are intersected,
+and an aligned template counts when enough of its words stand in place and all its key
+phrases do.
 
 Words are runs of ASCII letters and digits and of non-ASCII bytes, A-Z lower-cased.
 Defined cases: a null text has no words, no places and score 0; overlapping and
-repeated places all count; ties in rarity go to the earlier position; repeated rows
-are scanned alike; an empty table gives an empty result; extra columns are ignored.
+repeated places all count; a template cut off by the end of the text counts with the
+words that are there; ties in rarity go to the earlier position; very long texts are
+scanned whole; repeated rows and null ids are scanned alike; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -23,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rarest words of a template that are looked up.
-RARE_WORDS = 3
+#: Postings that must agree on a place before it is verified, where a template has so many.
+VOTES = 2
 #: Share of a template's words that must stand in place.
 MIN_SHARE = 0.8
 
@@ -42,31 +48,112 @@ def template(label: str, text: str, *phrases: str) -> Template:
 # Base phrases with their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Opening or identifying wording of public licences and licence notices.
+# Bodies and notices of public licences, as words, with phrases that must
+# stand in them.
 TEMPLATES = (
-    template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
     template("mit", "released under the mit license", "mit license"),
     template("mit", "licensed under the mit license", "mit license"),
     template(
         "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+        """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+        documentation files the software to deal in the software without restriction including without limitation the
+        rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit
+        persons to whom the software is furnished to do so subject to the following conditions""",
         "hereby granted free of charge",
     ),
+    template(
+        "mit",
+        """the above copyright notice and this permission notice shall be included in all copies or substantial portions of
+        the software""",
+        "permission notice shall be included",
+    ),
+    template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    template(
+        "apache-2.0",
+        """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the
+        license you may obtain a copy of the license at http www apache org licenses license 2 0""",
+        "apache license version 2 0",
+    ),
+    template(
+        "apache-2.0",
+        """unless required by applicable law or agreed to in writing software distributed under the license is distributed on
+        an as is basis without warranties or conditions of any kind either express or implied see the license for the
+        specific language governing permissions and limitations under the license""",
+        "without warranties or conditions of any kind",
+    ),
     template("gpl", "licensed under the gnu general public license", "general public license"),
     template("gpl-3.0", "gnu general public license version 3", "general public license version 3"),
     template("gpl-2.0", "gnu general public license version 2", "general public license version 2"),
+    template(
+        "gpl-3.0",
+        """this program is free software you can redistribute it and or modify it under the terms of the gnu general public
+        license as published by the free software foundation either version 3 of the license or at your option any later
+        version""",
+        "gnu general public license",
+        "version 3",
+    ),
+    template(
+        "gpl-2.0",
+        """this program is free software you can redistribute it and or modify it under the terms of the gnu general public
+        license as published by the free software foundation either version 2 of the license or at your option any later
+        version""",
+        "gnu general public license",
+        "version 2",
+    ),
     template("lgpl", "gnu lesser general public license", "lesser general public license"),
     template("agpl", "gnu affero general public license", "affero general public license"),
-    template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    template(
+        "agpl",
+        """this program is free software you can redistribute it and or modify it under the terms of the gnu affero general
+        public license as published by the free software foundation either version 3 of the license or at your option any
+        later version""",
+        "gnu affero general public license",
+    ),
     template("bsd", "licensed under the bsd license", "bsd license"),
-    template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    template(
+        "bsd",
+        """redistribution and use in source and binary forms with or without modification are permitted provided that the
+        following conditions are met""",
+        "source and binary forms",
+    ),
+    template(
+        "bsd-3-clause",
+        """neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission""",
+        "endorse or promote products",
+    ),
+    template(
+        "mpl-2.0",
+        """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not
+        distributed with this file you can obtain one at""",
+        "mozilla public license",
+    ),
+    template(
+        "isc",
+        """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+        provided that the above copyright notice and this permission notice appear in all copies""",
+        "with or without fee",
+    ),
+    template(
+        "zlib",
+        """this software is provided as is without any express or implied warranty in no event will the authors be held liable
+        for any damages arising from the use of this software permission is granted to anyone to use this software for any
+        purpose including commercial applications and to alter it and redistribute it freely subject to the following
+        restrictions""",
+        "redistribute it freely",
+    ),
+    template(
+        "unlicense",
+        """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use
+        compile sell or distribute this software either in source code form or as a compiled binary for any purpose
+        commercial or non commercial and by any means""",
+        "unencumbered software",
+    ),
     template("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
     template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc 4 0"),
     template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa 4 0"),
     template("cc-by", "creative commons attribution 4 0 international license", "attribution 4 0 international"),
     template("cc0", "cc0 1 0 universal public domain dedication", "public domain dedication"),
-    template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 )
 
 # Every byte as a word byte (A-Z lower-cased) or as a blank.
@@ -104,29 +191,31 @@ class Index:
         self.words = [tuple(w.encode() for w in t.words) for t in templates]
         self.phrases = [[tuple(w.encode() for w in p) for p in t.phrases] for t in templates]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.votes = []
         for number, words in enumerate(self.words):
-            rarest = sorted(range(len(words)), key=lambda i: (frequency.get(words[i], 0), i))[:RARE_WORDS]
+            may_miss = len(words) - math.ceil(MIN_SHARE * len(words))
+            rarest = sorted(range(len(words)), key=lambda i: (frequency.get(words[i], 0), i))[: may_miss + VOTES]
             for position in rarest:
                 self.postings[words[position]].append((number, position))
-        self.needed = [min(RARE_WORDS, len(words)) for words in self.words]
+            # in a copy with enough words in place so many of the looked-up ones are
+            self.votes.append(len(rarest) - may_miss)
+        #: Indexed words, highest inverse document frequency first.
+        self.rank = {w: i for i, w in enumerate(sorted(self.postings, key=lambda w: (frequency.get(w, 0), w)))}
 
     def scan(self, words: list[bytes], where: dict[bytes, list[int]]) -> list[tuple[int, int, float]]:
         """(template number, start, share of words in place) of every verified template."""
         votes: Counter = Counter()
-        for word in self.postings.keys() & where.keys():
+        for word in sorted(self.rank.keys() & where.keys(), key=self.rank.__getitem__):
             for number, position in self.postings[word]:
-                votes.update((number, at - position) for at in where[word])
-        found = []
-        for (number, start), count in votes.items():
-            wanted = self.words[number]
-            # one rare word may be missing or changed, as MIN_SHARE allows
-            if count < self.needed[number] - 1 or start < 0:
-                continue
-            here = words[start : start + len(wanted)]
-            share = sum(a == b for a, b in zip(here, wanted, strict=False)) / len(wanted)
-            if share >= MIN_SHARE and all(_stands(here, p) for p in self.phrases[number]):
-                found.append((number, start, share))
-        return found
+                votes.update((number, at - position) for at in where[word] if at >= position)
+        return [(n, start, share) for (n, start), count in votes.items() if count >= self.votes[n] and (share := self.verify(n, words, start))]
+
+    def verify(self, number: int, words: list[bytes], start: int) -> float:
+        """The share of a template's words that stand in place from *start* on, 0 if it does not count there."""
+        wanted = self.words[number]
+        here = words[start : start + len(wanted)]
+        share = sum(a == b for a, b in zip(here, wanted, strict=False)) / len(wanted)
+        return share if share >= MIN_SHARE and all(_stands(here, p) for p in self.phrases[number]) else 0.0
 
 
 def _stands(words: Sequence[bytes], phrase: tuple[bytes, ...]) -> bool:
@@ -135,7 +224,7 @@ def _stands(words: Sequence[bytes], phrase: tuple[bytes, ...]) -> bool:
 
 
 def _base_places(words: list[bytes], where: dict[bytes, list[int]]) -> dict[str, list[int]]:
-    """Starts of the base phrases by label; ends are looked up first, as 'license' is the shared word."""
+    """Starts of the base phrases by label, from where their first words stand."""
     places = {}
     for phrase, label in BASE_PHRASES:
         parts = [w.encode() for w in phrase.split()]

@@ -657,3 +657,43 @@ def test_pii_key_and_columns(spark):
         assert pii.key_of(spark) == "given"
     finally:
         spark.conf.unset(pii.KEY_SETTING)
+
+
+def _scanned_plainly(text):
+    """Every template tried at every word, without the index."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+    base = [(i, label) for i in range(len(words)) for phrase, label in license_scan.BASE_PHRASES if words[i : i + len(phrase.split())] == phrase.encode().split()]
+    found = []
+    for t in license_scan.TEMPLATES:
+        wanted = [w.encode() for w in t.words]
+        phrases = [[w.encode() for w in p] for p in t.phrases]
+        for start in range(len(words)):
+            here = words[start : start + len(wanted)]
+            share = sum(a == b for a, b in zip(here, wanted, strict=False)) / len(wanted)
+            if share >= 0.8 and all(any(here[i : i + len(p)] == p for i in range(len(here))) for p in phrases):
+                found.append((t.label, start, share))
+    starts = [i for i, _ in base]
+    score = max([x for *_, x in found] + [0.5] * bool(base), default=0.0)
+    labels = {label for _, label in base}
+    return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)),
+            ",".join(sorted(labels | {x for x, *_ in found})), score, sorted(found))
+
+
+def test_license_against_brute_force(spark, empty):
+    """Templates with words changed, cut, repeated and among other words, at and around the least share."""
+    rng = np.random.default_rng(0)
+    common = "the of license software to and or is under public permission version 2 0".split()
+    rows = [(1, None), (1, None), (None, "Released under the MIT License."), (2, ""), (3, "mit license " * 4000), (4, "É mit-license, MIT  LICENSE apache license general public license")]
+    for i in range(250):
+        words = list(rng.choice(common, int(rng.integers(0, 30))))
+        for t in rng.choice(len(license_scan.TEMPLATES), int(rng.integers(1, 3))):
+            body = list(license_scan.TEMPLATES[t].words)
+            for at in rng.choice(len(body), int(len(body) * rng.choice([0, 0.1, 0.2, 0.21, 0.3])), replace=False):
+                body[at] = str(rng.choice(common))
+            words += body[: int(len(body) * rng.choice([1, 1, 0.85, 0.7]))] + list(rng.choice(common, int(rng.integers(0, 9))))
+        rows.append((i + 10, " ".join(w.upper() if rng.random() < 0.1 else str(w) for w in words)))
+    df = spark.createDataFrame([(i, t, "x", 1.0) for i, t in rows], "doc_id long, text string, labels string, score double")
+    got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score, sorted((m.label, m.start, m.share) for m in r.matches)) for r in license_scan.scan(df).collect()]
+    assert sorted(got, key=str) == sorted([(i, *_scanned_plainly(t)) for i, t in rows], key=str)
+    assert sum(bool(g[-1]) for g in got) > 80
+    assert license_scan.scan(empty).count() == 0
