@@ -2,15 +2,17 @@
 
 Frequent words are compiled with their ids into a shared-suffix automaton whose
 states count the words below each arc, so that a walk yields the word's number and
-with it its ids.  Workers memory-map the compiled file.  Words that the lexicon lacks
-are merged exactly, lowest rank first.  The lexicon only saves work: any word set
-gives the same ids.
+with it its ids.  The compiled file lies in the shared folder and workers memory-map it.
+Texts are encoded by slabs: the distinct words of a slab walk the automaton together, byte
+by byte; words that the lexicon lacks are merged exactly, lowest rank first, and a bounded
+store keeps what was merged.  The lexicon only saves work: any word set gives the same ids.
 
 Defined cases: a null text counts as the empty text (no ids); a special token's
 literal string in a text is that special token, as the tokenizers library reads it;
-one very long word is merged in n log n steps; repeated rows are encoded alike; an
-empty table gives an empty result and an empty lexicon; extra columns are ignored
-unless named in ``keep``.
+one very long word is merged in n log n steps, and a very long text is a slab of its own;
+repeated rows and null ids are encoded alike; words of one count go by byte order into the
+lexicon; an empty table gives an empty result and an empty lexicon; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,23 +24,27 @@ import mmap
 import os
 import tempfile
 import unicodedata
-import uuid
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, worker_state
+from .common import shared_path, staged, store_of, worker_state
 
 #: Words compiled into the lexicon at most; the rest is merged when met.
 LEXICON_WORDS = 50_000
-#: Words that a worker remembers at most.
-CACHED_WORDS = 400_000
+#: Distinct words that a task counts before it passes them on.
+COUNTED_WORDS = 400_000
+#: Characters of a slab of texts, about, whose distinct words are looked up together.
+SLAB_CHARS = 2_000_000
+#: Bytes of merged words that a worker keeps at most.
+MERGED_BYTES = 16 << 20
 #: Words of at most so many bytes are merged by plain scanning.
 SHORT_WORD = 48
 
@@ -148,9 +154,12 @@ class Lexicon:
         cuts = [3]
         for size in (states + 1, states, arcs, arcs, arcs, words + 1):
             cuts.append(cuts[-1] + size)
-        view = [numbers[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.first, self.final, self.label, self.target, self.skip, self.offset = view
-        self.ids = numbers[cuts[-1] :]
+        block = np.frombuffer(numbers, np.uint32)  # in place
+        view = [block[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        first, self.final, label, self.target, self.skip, self.offset = view
+        self.ids = block[cuts[-1] :]
+        # arcs are sorted by state, and by byte within a state
+        self.keys = np.repeat(np.arange(states, dtype=np.int64), np.diff(first.astype(np.int64))) << 8 | label
 
     @staticmethod
     def compile(entries: Iterable[tuple[bytes, Sequence[int]]]) -> array:
@@ -201,47 +210,83 @@ class Lexicon:
 
     def find(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit numbers, or None."""
-        state, number, first, label = len(self.final) - 1, 0, self.first, self.label
-        for byte in word:
-            for arc in range(first[state], first[state + 1]):
-                if label[arc] == byte:
-                    number += self.skip[arc]
-                    state = self.target[arc]
-                    break
-            else:
-                return None
-        if not self.final[state]:
-            return None
-        return bytes(self.ids[self.offset[number] : self.offset[number + 1]])
-
-
-class _Words(dict):
-    """Ids of words already met; a missing one is walked in the lexicon, else merged."""
-
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None) -> None:
-        self.vocabulary, self.lexicon = vocabulary, lexicon
+        return self.find_all([word])[0]
+
+    def find_all(self, words: Sequence[bytes]) -> list[bytes | None]:
+        """The same for many words, which walk the automaton together: the n-th bytes of all in one step."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-sizes, kind="stable")
+        starts = (np.cumsum(sizes) - sizes)[order]
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        left = np.cumsum(np.bincount(sizes, minlength=1)[::-1])[::-1]  # words of so many bytes or more
+        state = np.full(len(words), len(self.final) - 1, np.int64)
+        number, alive = np.zeros(len(words), np.int64), np.ones(len(words), bool)
+        for step in range(len(left) - 1):
+            rows = np.flatnonzero(alive[: left[step + 1]])
+            if not len(rows):
+                break
+            key = state[rows] << 8 | raw[starts[rows] + step]
+            arc = np.searchsorted(self.keys, key)
+            arc[arc == len(self.keys)] = 0
+            hit = self.keys[arc] == key if len(self.keys) else np.zeros(len(rows), bool)
+            alive[rows[~hit]] = False
+            rows, arc = rows[hit], arc[hit]
+            number[rows] += self.skip[arc]
+            state[rows] = self.target[arc]
+        alive &= self.final[state] == 1
+        out: list[bytes | None] = [None] * len(words)
+        for i, n in zip(order[alive].tolist(), number[alive].tolist(), strict=True):
+            out[i] = self.ids[self.offset[n] : self.offset[n + 1]].tobytes()
+        return out
+
+
+class _Merged(dict):
+    """Ids of words that were merged; emptied when it holds ``MERGED_BYTES``."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary, self.held = vocabulary, 0
 
     def __missing__(self, word: str) -> bytes:
-        found = self.lexicon.find(word.encode("utf-8", "surrogatepass")) if self.lexicon else None
-        if found is None:
-            found = array("I", self.vocabulary.merge(word)).tobytes()
-        if len(self) >= CACHED_WORDS:
+        found = array("I", self.vocabulary.merge(word)).tobytes()
+        self.held += 200 + len(word) + len(found)
+        if self.held > MERGED_BYTES:
             self.clear()
+            self.held = 0
         self[word] = found
         return found
 
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None) -> None:
-        self.vocabulary, self.cache = vocabulary, _Words(vocabulary, lexicon)
+        self.vocabulary, self.lexicon, self.merged = vocabulary, lexicon, _Merged(vocabulary)
         self.names = [vocabulary.tokens.get(i, "") for i in range(max(vocabulary.tokens) + 1)]
 
+    def _looked_up(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words: the lexicon's, else merged ones."""
+        some = list(words)
+        found = self.lexicon.find_all([w.encode("utf-8", "surrogatepass") for w in some]) if self.lexicon and some else [None] * len(some)
+        return {w: self.merged[w] if ids is None else ids for w, ids in zip(some, found, strict=True)}
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit numbers."""
+        split = [[(special, self.vocabulary.words(part)) for special, part in self.vocabulary.parts(t)] for t in texts]
+        known = self._looked_up(set().union(*(words for parts in split for _, words in parts)))
+        get = known.__getitem__
+        return [b"".join(b"".join(map(get, words)) if special is None else special.to_bytes(4, "little") for special, words in parts) for parts in split]
+
     def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian 32-bit numbers."""
-        get, words, out = self.cache.__getitem__, self.vocabulary.words, []
-        for special, part in self.vocabulary.parts(text):
-            out.append(b"".join(map(get, words(part))) if special is None else special.to_bytes(4, "little"))
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+    def slabs(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text in turn, by slabs of about ``SLAB_CHARS`` characters."""
+        slab, held = [], 0
+        for text in texts:
+            slab.append(text)
+            held += len(text)
+            if held >= SLAB_CHARS:
+                yield from self.encode_all(slab)
+                slab, held = [], 0
+        yield from self.encode_all(slab)
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by blanks: what a vocabulary without a decoder gives."""
@@ -264,7 +309,7 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
                 for special, part in vocabulary.parts(text.as_py() or ""):
                     if special is None:
                         seen.update(vocabulary.words(part))
-            if len(seen) > CACHED_WORDS:
+            if len(seen) > COUNTED_WORDS:
                 yield flush()
         yield flush()
 
@@ -272,19 +317,30 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
 
 def compile_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> str:
-    """Compile the ``words`` most frequent words of all texts; returns the name under which workers find the file."""
+    """Compile the ``words`` most frequent words of all texts; returns the shared file's path."""
     # written first: the driver would otherwise merge a list of this length from every partition
     top = word_counts(docs, path, text_col).orderBy(F.desc("n"), "word").limit(words).select("word")
     top = staged(top, "lexicon-words").collect()
     vocabulary = Vocabulary(path)
     entries = sorted((r.word.encode("utf-8"), r.word) for r in top)
     compiled = Lexicon.compile((raw, vocabulary.merge(word)) for raw, word in entries)
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    local = os.path.join(tempfile.gettempdir(), name)
-    with open(local, "wb") as f:
-        compiled.tofile(f)
-    docs.sparkSession.sparkContext.addFile(local)
-    return name
+    path = shared_path(docs.sparkSession, "lexicon")
+    store, folder = store_of(path)
+    store.create_dir(folder, recursive=True)
+    with store.open_output_stream(f"{folder}/words.bin", compression=None) as f:
+        f.write(compiled.tobytes())
+    return f"{path}/words.bin"
+
+
+def open_lexicon(path: str) -> Lexicon:
+    """The lexicon of a shared file, memory-mapped; of a store without local paths it is fetched once for a worker."""
+    store, name = store_of(path)
+    if isinstance(store, pyarrow.fs.LocalFileSystem):
+        return Lexicon.open(name)
+    with tempfile.NamedTemporaryFile(suffix=".bin") as f, store.open_input_stream(name, compression=None) as source:
+        f.write(source.read())
+        f.flush()
+        return Lexicon.open(f.name)  # the mapping outlives the name
 
 
 def encode_documents(
@@ -303,12 +359,11 @@ def encode_documents(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = worker_state()
         if (path, name) not in state:
-            state[path, name] = Encoder(Vocabulary(path), Lexicon.open(SparkFiles.get(name)))
+            state[path, name] = Encoder(Vocabulary(path), open_lexicon(name))
         encoder = state[path, name]
         for batch in batches:
             counts, of_ids, of_text, all_ids, all_text = [], [], [], [], []
-            for text in batch.column("_text"):
-                ids = encoder.encode(text.as_py() or "")
+            for ids in encoder.slabs(text.as_py() or "" for text in batch.column("_text")):
                 decoded = encoder.decode(ids)
                 counts.append(len(ids) // 4)
                 of_ids.append(hashlib.sha256(ids).hexdigest())

@@ -227,12 +227,32 @@ def test_bpe(docs, empty):
     assert bpe.encode_documents(empty, path).count() == 0
 
 
+def test_bpe_slabs_and_stores(monkeypatch):
+    """Slabs of any size, a store of merged words that overflows, and a lexicon of some words give the library's ids."""
+    path = public.path("word_bpe_49k.json")
+    want, v = tokenizers.Tokenizer.from_file(path), bpe.Vocabulary(path)
+    rng = np.random.default_rng(0)
+    letters = list("abcdefghijklmnopqrstuvwxyzéß0123456789'.,!-")
+    texts = [" ".join("".join(rng.choice(letters, int(rng.integers(1, 14)))) for _ in range(int(rng.integers(0, 60)))) for _ in range(120)]
+    texts += ["", "x" * 5000, "<|endoftext|>a<|endoftext|>", "ﬁ ½ 漢字 👍🏽"]
+    some = sorted({w.encode() for t in texts[::3] for w in v.words(v.fold(t))})
+    lexicon = bpe.Lexicon(bpe.Lexicon.compile((w, v.merge(w.decode())) for w in some))
+    expected = [np.array(e.ids, "<u4").tobytes() for e in want.encode_batch(texts, add_special_tokens=False)]
+    for chars, held in ((1, 1), (500, 4000), (10**9, 10**9)):
+        monkeypatch.setattr(bpe, "SLAB_CHARS", chars)
+        monkeypatch.setattr(bpe, "MERGED_BYTES", held)
+        assert list(bpe.Encoder(v, lexicon).slabs(iter(texts))) == expected
+
+
 def test_lexicon_and_merges():
     v = bpe.Vocabulary(public.path("word_bpe_49k.json"))
     some = sorted(w.encode() for w in ["tap", "taps", "top", "tops", "stop", "stops", "é", "a"])
     lexicon = bpe.Lexicon(bpe.Lexicon.compile((w, v.merge(w.decode())) for w in some))
     assert all(memoryview(lexicon.find(w)).cast("I").tolist() == v.merge(w.decode()) for w in some)
     assert lexicon.find(b"to") is None and lexicon.find(b"stopss") is None
+    asked = [w for i in range(300) for w in (some[i % 8], b"to", b"stops" * 40, b"z", some[i % 8] + b"x")]
+    assert lexicon.find_all(asked) == [lexicon.find(w) for w in asked] and lexicon.find_all([]) == []
+    assert bpe.Lexicon(bpe.Lexicon.compile([])).find_all([b"a"]) == [None]
     assert len(lexicon.final) < sum(len(w) for w in some)  # suffixes are shared
     word = "internationalisation" * 3
     short, bpe.SHORT_WORD = v.merge(word), 0
