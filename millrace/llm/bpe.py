@@ -44,7 +44,7 @@ COUNTED_WORDS = 400_000
 #: Characters of a slab of texts, about, whose distinct words are looked up together.
 SLAB_CHARS = 2_000_000
 #: Bytes of merged words that a worker keeps at most.
-MERGED_BYTES = 16 << 20
+MERGED_BYTES = 48 << 20
 #: Words of at most so many bytes are merged by plain scanning.
 SHORT_WORD = 48
 
