@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,6 +34,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
 _ROOTS: set[str] = set()
 
 
+def store_of(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder that driver and executors share, and the folder's name in it."""
+    if "://" not in path and not path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), path
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a path of any store that Spark can write to."""
     gateway = spark.sparkContext._jvm
@@ -69,3 +78,13 @@ def released(*tables: DataFrame) -> None:
     """Remove tables of :func:`staged` that nothing will read again."""
     for table in tables:
         remove(table.sparkSession, table._staged_path)
+
+
+def swept(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished queries.
+
+    Spark removes them when the driver has collected what referred to them, which a driver
+    with memory to spare may do much later than executors run out of disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
