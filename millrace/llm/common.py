@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import released, shared_dir, shared_path, staged
+from ..sources.shared import released, shared_dir, shared_path, staged, store_of, swept
 
-__all__ = ["WORD_GAP", "documents", "released", "shared_dir", "shared_path", "staged", "store_of", "text_or_empty", "tokenizer_path", "worker_state"]
+__all__ = ["WORD_GAP", "documents", "released", "shared_dir", "shared_path", "staged", "store_of", "swept", "text_or_empty", "tokenizer_path", "worker_state"]
 
 #: ASCII white space that separates words: \x20 and \x09-\x0D.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -30,13 +27,6 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def store_of(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a folder that driver and executors share, and the folder's name in it."""
-    if "://" not in path and not path.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), path
-    return pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-
-
 def worker_state() -> dict:
     """A dictionary that lives as long as the Python worker process.
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import released, staged, text_or_empty
+from .common import released, staged, swept, text_or_empty
 from .components import connected_components
 from .linking import pairs_across, with_groups
 
@@ -247,6 +247,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     links = staged(both.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long"), "near-links")
     released(pairs, wanted, sets)
+    swept(named.sparkSession)
     return links
 
 
@@ -277,6 +278,7 @@ def _groups(named: DataFrame) -> DataFrame:
     links = _verified(found, nodes, named)
     plain = staged(_postings(index), "near-postings")
     released(index)
+    swept(named.sparkSession)
     postings = _grouped(plain, connected_components(links))
     links = links.union(_verified(_ties(postings), nodes, named))
     released(postings)

@@ -1,6 +1,6 @@
 """Substring deduplication with a log-structured fingerprint index.
 
-Every window of ``WINDOW`` words gets a fingerprint of 96 bits, 64 of them to sort by.
+Every window of ``WINDOW`` words gets a fingerprint of 80 bits, 64 of them to sort by.
 A task turns the texts it reads into *runs*: sorted, immutable lists of distinct
 fingerprints, each with the smallest document that has it and its place there, cut by
 fingerprint range into buckets and compressed.  Runs are kept in levels: as soon as a
@@ -19,7 +19,7 @@ Verification: each span asks its owner's text for a 128-bit digest of the very w
 stands for, and no word is removed unless the digests of both texts agree; other places
 of the same text with those words are compared word by word.  Windows whose owner is in
 ``history`` are verified where ``earlier`` gives the texts of those batches, else by
-their 96 bits.
+their 80 bits.
 
 Defined cases: a null text has no words; a text with fewer than ``WINDOW`` words
 keeps all; windows never span documents; a window whose first document is the same
@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import staged, swept, text_or_empty
 
 WINDOW = 13
 #: Windows in one run, about (a run ends at a document's end), and runs that are merged to one.
@@ -88,12 +88,12 @@ def _polynomial(words: np.ndarray, odd: int) -> np.ndarray:
 
 
 def window_fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits for each window of a sequence of word hashes."""
+    """64 and 16 bits for each window of a sequence of word hashes."""
     if len(words) < WINDOW:
-        return np.empty(0, np.uint64), np.empty(0, np.uint32)
+        return np.empty(0, np.uint64), np.empty(0, np.uint16)
     with np.errstate(over="ignore"):
         turned = words * np.uint64(_OTHER) ^ (words >> np.uint64(29))
-    return _polynomial(words, _ODD), (_polynomial(turned, _OTHER) >> np.uint64(32)).astype(np.uint32)
+    return _polynomial(words, _ODD), (_polynomial(turned, _OTHER) >> np.uint64(48)).astype(np.uint16)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -124,7 +124,7 @@ def _unpacked(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 
 class Run(NamedTuple):
-    """Entries sorted by fingerprint: 64 and 32 bits, row of *docs* (id, text hash), place."""
+    """Entries sorted by fingerprint: 64 and 16 bits, row of *docs* (id, text hash), place."""
 
     h: np.ndarray
     c: np.ndarray
@@ -141,7 +141,7 @@ class Run(NamedTuple):
 
     @staticmethod
     def open(blob: bytes) -> Run:
-        h, c, doc, place, ids, hashes = _unpacked(blob, ["<u8", "<u4", "<u4", "<u4", "<u8", "<u8"])
+        h, c, doc, place, ids, hashes = _unpacked(blob, ["<u8", "<u2", "<u4", "<u4", "<u8", "<u8"])
         return Run(np.cumsum(h, dtype=np.uint64), c, doc, place, np.stack([ids, hashes], 1).view(np.int64))
 
 
@@ -479,8 +479,12 @@ def substring_dedup(
         if earlier is not None:
             owners = owners.union(_rows(earlier, id_col, text_col).filter("id IS NOT NULL"))
     trusted = history is not None and earlier is None
-    spans = _with_digests(staged(flagged_spans(made, layout.slices), "substring-spans"), owners)
-    joined = rows.join(staged(spans, "substring-flags").hint("shuffle_hash"), ["id", "text_hash"], "left")
+    spans = staged(flagged_spans(made, layout.slices), "substring-spans")
+    swept(docs.sparkSession)
+    found = staged(_with_digests(spans, owners), "substring-flags")
+    swept(docs.sparkSession)
+    # hashing the narrow side spares the texts a sort
+    joined = rows.join(found.hint("shuffle_hash"), ["id", "text_hash"], "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

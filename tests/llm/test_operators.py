@@ -193,7 +193,7 @@ def test_substring_verifies_words(spark):
 
     def alike(hashes):
         n = max(0, len(hashes) - 12)
-        return np.zeros(n, np.uint64), np.zeros(n, np.uint32)
+        return np.zeros(n, np.uint64), np.zeros(n, np.uint16)
 
     texts = [" ".join(f"t{i}w{k}" for k in range(40)) for i in range(6)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
