@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions.evaluate import Scope, condition
+from .functions.values import parsed, trimmed
 from .operators import charts, joins, stages
 from .operators.numbering import number_rows
+from .plans import describe
 from .plans.errors import ScriptError
 from .plans.relation import Relation
 from .plans.script import Stage, parse
@@ -29,6 +33,7 @@ class Output:
     chart: dict[str, Any] | None = None
     colors: list[dict[str, Any]] = field(default_factory=list)
     plan: list[str] = field(default_factory=list)
+    notes: Callable[[], list[str]] = list  # what a chart leaves out
 
     @property
     def header(self) -> list[str]:
@@ -49,6 +54,31 @@ class Output:
             df = df.orderBy(*self.relation.order_columns())
         return df.select(*self._columns(as_text)).toDF(*self.header)
 
+    def typed(self, ordered: bool = True) -> DataFrame:
+        """The result with the types that its cells tell: a column of numbers is double, all else text.
+
+        Blank cells of a number column are NaN; a column without any rows is text, one of
+        blanks alone is double.  Numbers that are written like codes (a leading zero or
+        plus) make a text column.
+        """
+        frame = self.frame(ordered, as_text=True).toDF(*(f"_{i}" for i in range(len(self.header))))
+        checks = []
+        for c in frame.columns:
+            cell = F.col(c)
+            code = cell.rlike(r"^\s*([+]|-?0[0-9])")
+            text = (trimmed(cell) != "") & (parsed(cell).isNull() | code)
+            checks.append((F.count_if(text) == 0).alias(c))
+        numeric = frame.agg(F.count(F.lit(1)).alias("rows"), *checks).first()
+        plain = [
+            F.coalesce(parsed(F.col(c)), F.lit(float("nan"))).alias(c) if numeric["rows"] and numeric[c] else F.col(c) for c in frame.columns
+        ]
+        return frame.select(*plain).toDF(*self.header)
+
+    def columns(self) -> dict[str, list]:
+        """The typed result as lists, for callers that hold it in memory."""
+        rows = self.typed().collect()
+        return {name: [r[i] for r in rows] for i, name in enumerate(self.header)}
+
     def rows(self) -> Iterator[list[str]]:
         """The output rows as texts, in order, one partition at a time."""
         for row in self.frame(ordered=True, as_text=True).toLocalIterator(prefetchPartitions=True):
@@ -98,9 +128,9 @@ class Engine:
         return rel
 
     def _expanded(self, item: dict[str, Any]) -> list[tuple[str, str]]:
-        if item["literal"] or not files.is_pattern(item["file"]):
+        if item["literal"] or not files.is_pattern(self.spark, self._path(item["file"])):
             return [(item["file"], "")]
-        return files.expand(item["file"], self.folder)
+        return files.expand(self.spark, item["file"], self.folder)
 
     def _from(self, stage: Stage, header: str | None) -> Relation:
         rel = None
@@ -128,7 +158,7 @@ class Engine:
         for i, stage in enumerate(todo):
             verb, args = stage.verb, stage.args
             if verb not in ("fmt", "color"):
-                out.plan.append(f"{verb:8} {stage.text.partition(' ')[2].strip()}")
+                out.plan.append(f"{len(out.plan) + 1}  {describe.stage(rel, stage)}")
             if verb in _TRANSFORMS:
                 if not in_run:  # rownum() counts the rows that enter a run of these
                     run = []
@@ -158,7 +188,7 @@ class Engine:
             elif verb == "graph":
                 if i + 1 < len(todo) and any(s.verb not in ("color", "fmt") for s in todo[i + 1 :]):
                     raise ScriptError("graph must be the last stage")
-                out.chart = args
+                out.chart, out.notes = args, partial(charts.notes, rel, args)
                 rel = charts.CHARTS[args["kind"]](rel, args)
             else:
                 rel = getattr(stages, verb)(rel, args)

@@ -28,7 +28,6 @@ class Scope:
     previous: dict[int, str] = field(default_factory=dict)  # position: physical column of the row before
     first: str | None = None  # physical boolean: the first row
     number: str | None = None  # physical count of the row, from 1
-    modes: list[str] = field(default_factory=list)  # chosen comparison modes, for explain
 
 
 def static_type(scope: Scope, node: Node) -> str | None:
@@ -176,12 +175,19 @@ def _match(scope: Scope, node: Node) -> Column:
     return {"^=": text.startswith, "*=": text.contains, "$=": text.endswith}[op](pattern)
 
 
+def comparison_mode(scope: Scope, node: Node) -> str:
+    """How a comparison reads its sides: ``numeric``, ``text``, or ``auto`` (row by row)."""
+    types = [static_type(scope, a) for a in node.args]
+    if "Num" in types:
+        return "numeric"
+    return "text" if "Str" in types or node.value in ("==", "!=") else "auto"
+
+
 def _compare(scope: Scope, node: Node) -> Column:
     op, (a, b) = node.value, node.args
     left, right, compare = evaluate(scope, a), evaluate(scope, b), _COMPARE[op]
-    types = [static_type(scope, a), static_type(scope, b)]
-    if "Num" in types:
-        scope.modes.append(f"{op} numeric")
+    mode = comparison_mode(scope, node)
+    if mode == "numeric":
         for side in (a, b):
             if side.kind == "str" and not _reads_as_number(side.value):
                 raise ScriptError(f"'{side.value}' is compared with a number and is none")
@@ -189,17 +195,13 @@ def _compare(scope: Scope, node: Node) -> Column:
             return _against_literal(op, left, float(b.value if b.kind == "num" else b.value.strip() or "0"))
         sides = [_literal_number(v, n) for v, n in ((left, a), (right, b))]
         return _numeric(op, *sides)
-    equality = op in ("==", "!=")
-    numbers = {"num", "int"}
-    if "Str" in types or equality:
-        scope.modes.append(f"{op} text")
-        if left.kind == right.kind == "int" and "Str" not in types:
+    if mode == "text":
+        if left.kind == right.kind == "int" and op in ("==", "!="):
             same = left.column.eqNullSafe(right.column)
             return same if op == "==" else ~same
         return compare(left.text(), right.text())
-    scope.modes.append(f"{op} auto")
     x, y = left.soft(), right.soft()
-    if left.kind in numbers and right.kind in numbers:
+    if left.kind in ("num", "int") and right.kind in ("num", "int"):
         return ieee(compare, x, y)
     return F.when(x.isNotNull() & y.isNotNull(), ieee(compare, x, y)).otherwise(compare(left.text(), right.text()))
 

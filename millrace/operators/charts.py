@@ -122,7 +122,10 @@ def xy(rel: Relation, args: dict) -> Relation:
     xf, *ys = (rel.get(c) for c in args["columns"])
     rel, x = axis(rel, xf)
     x = _clip(x, args.get("xrange"))
-    df, fields, some = rel.df.filter(x.isNotNull()), [xf], F.lit(False)
+    place, tint = fresh("x"), fresh("tint")
+    color = _finite(rel.get(args["color_by"]).value()) if args.get("color_by") else F.lit(None).cast("double")
+    df, fields, some = rel.df.withColumn(place, x).withColumn(tint, color).filter(F.col(place).isNotNull()), [xf], F.lit(False)
+    args["place"], args["tint"] = place, tint
     for y in ys:
         v = _clip(_finite(y.value()), args.get("yrange"))
         v = F.when(v > 0, v) if args.get("log") else v
@@ -155,4 +158,38 @@ def heatmap(rel: Relation, args: dict) -> Relation:
     return Relation(made, fields, [(names[0], True), (names[1], True)])
 
 
+def notes(rel: Relation, args: dict) -> list[str]:
+    """What a chart of these rows leaves out, counted in one aggregate over its input."""
+    kind, names = args["kind"], args["columns"]
+    measured = names if kind in ("hist", "spark") else names[1:]
+    log, none = args.get("log") and kind != "hist", F.lit(0)
+    skipped = clipped = dropped = none
+
+    def count(test: Column) -> Column:
+        return F.coalesce(F.sum(F.coalesce(test, F.lit(False)).cast("long")), F.lit(0))
+
+    bounds = args.get("xrange") if kind == "hist" else args.get("yrange")
+    for name in measured:
+        x = _finite(rel.get(name).value())
+        inside = x if bounds is None else F.when((x >= bounds[0]) & (x <= bounds[1]), x)
+        skipped = skipped + count(x.isNull())
+        clipped = clipped + count(x.isNotNull() & inside.isNull())
+        dropped = dropped + (count(inside <= 0) if log else none)
+    if kind in ("scatter", "line", "heatmap") and args.get("xrange"):
+        rel, x = axis(rel, rel.get(names[0]))
+        lo, hi = args["xrange"]
+        clipped = clipped + count((x < lo) | (x > hi))
+    color = count(_finite(rel.get(args["color_by"]).value()).isNull()) if args.get("color_by") else none
+    found = rel.df.agg(F.count(F.lit(1)).alias("rows"), skipped.alias("skipped"), clipped.alias("clipped"), dropped.alias("dropped"), color.alias("color")).first()
+    more = found["rows"] - MOST_BARS if kind == "bar" else 0
+    told = [
+        (more, "more bars are not drawn"),
+        (found["skipped"], "cells hold no number"),
+        (found["clipped"], "values lie outside the range"),
+        (found["dropped"], "values are not above zero"),
+        (found["color"], "points have no number to colour by"),
+    ]
+    return [f"{n} {what}" for n, what in told if n > 0]
+
+
 CHARTS = {"hist": hist, "bar": bar, "spark": spark_line, "scatter": xy, "line": xy, "heatmap": heatmap}

@@ -10,6 +10,8 @@ what crosses its edges (row counts, last rows, nearest matches) is one row a buc
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from ..plans.relation import Relation, fresh
 from ..sources.shared import staged
 
 _IN_TASK = (1 << 33) - 1
+_SLASHES = r"^([A-Za-z][A-Za-z0-9+.-]*):/+"
 #: Rows of a file in one piece of a place that is made of a rank and a row.
 _RANK_SHIFT = 44
 _CHUNK_BITS = 20
@@ -37,10 +40,13 @@ def with_ordinal(rel: Relation) -> Relation:
     if rel.ordinal or not rel.files:
         return rel
     spark, (file, row) = rel.df.sparkSession, (c for c, _ in rel.order)
-    ranks = spark.createDataFrame(list(zip(rel.files, range(len(rel.files)), strict=True)), "_ranked string, _rank long")
+    # listings and rows may write the same local path with one slash or three
+    names = sorted(re.sub(_SLASHES, r"\1:/", f) for f in rel.files)
+    ranks = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "_ranked string, _rank long")
     place = fresh("place")
-    df = rel.df.join(F.broadcast(ranks), F.col(file) == F.col("_ranked"))  # a row a file, MOST_RANKED at most
-    df = df.withColumn(place, F.shiftleft("_rank", _RANK_SHIFT).bitwiseOR(F.col(row))).drop("_ranked", "_rank")
+    df = rel.df.join(F.broadcast(ranks), F.regexp_replace(file, _SLASHES, "$1:/") == F.col("_ranked"), "left")  # a row a file, MOST_RANKED at most
+    rank = F.coalesce("_rank", F.raise_error(F.concat(F.lit("a row of an unlisted file: "), F.col(file))).cast("long"))
+    df = df.withColumn(place, F.shiftleft(rank, _RANK_SHIFT).bitwiseOR(F.col(row))).drop("_ranked", "_rank")
     return rel.with_(df=df, order=[(place, True)], ordinal=place, files=())
 
 

@@ -6,13 +6,13 @@ the shared folder first.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -29,18 +29,13 @@ def _script(name: str, table: str, script: str, sql: str | None) -> None:
         _SQL[name] = sql
 
 
-def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_millrace"
-    return f"{base.rstrip('/')}/csv-{uuid.uuid4().hex}"
-
-
 def _csv_script(name: str, table: str, columns: list[str], script: str, sql: str) -> None:
     """The script over a CSV copy of some columns of a table."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from ..sources.writers import write_csv
 
-        engine, path = Engine(spark), _shared(spark)
+        engine, path = Engine(spark), shared_path(spark, "csv")
         write_csv(engine.run("cols " + ",".join(columns), f"{sf_dir}/{table}.parquet"), path)
         return engine.run(script, path).frame()
 

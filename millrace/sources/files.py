@@ -153,7 +153,23 @@ def _natural(text: str) -> list:
     return [(0, int(p), "") if p.isdigit() else (1, 0, p) for p in re.split(r"(\d+)", text) if p]
 
 
-def expand(pattern: str, folder: str = ".") -> list[tuple[str, str]]:
+def _listed(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder of this machine, or of any store that Spark reads."""
+    if "://" not in folder:
+        return os.listdir(folder or ".")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in store.listStatus(path)] if store.exists(path) else []
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    if "://" not in path:
+        return os.path.exists(path)
+    folder, _, name = path.rpartition("/")
+    return name in _listed(spark, folder)
+
+
+def expand(spark: SparkSession, pattern: str, folder: str = ".") -> list[tuple[str, str]]:
     """(file, part) for each file of a pattern; part joins what braces and wildcards stood for."""
     pieces = re.split(r"\{([^{}]*)\}", pattern)
     choices = [[(p, None)] if i % 2 == 0 else [(a, a) for a in (_alternatives(p) or [p])] for i, p in enumerate(pieces)]
@@ -162,16 +178,16 @@ def expand(pattern: str, folder: str = ".") -> list[tuple[str, str]]:
         name = "".join(text for text, _ in combination)
         said = [part for _, part in combination if part]
         if not re.search(r"[*?]", name):
-            path = os.path.join(folder, name)
-            if len(pieces) > 1 and not os.path.exists(path):
+            path = name if "://" in name else os.path.join(folder, name)
+            if len(pieces) > 1 and not _exists(spark, path):
                 raise ScriptError(f"no file '{name}'")
             found.append((path, "_".join(said)))
             continue
-        directory, base = os.path.split(os.path.join(folder, name))
+        directory, base = os.path.split(name if "://" in name else os.path.join(folder, name))
         if re.search(r"[*?]", directory):
             raise ScriptError("wildcards go in the file name only")
         shape = re.compile("".join("(.*)" if c == "*" else "(.)" if c == "?" else re.escape(c) for c in base), re.S)
-        here = sorted((f for f in os.listdir(directory or ".") if not f.startswith(".") or base.startswith(".")), key=_natural)
+        here = sorted((f for f in _listed(spark, directory) if not f.startswith(".") or base.startswith(".")), key=_natural)
         for f in here:
             if m := shape.fullmatch(f):
                 found.append((os.path.join(directory, f), "_".join([*said, *(g for g in m.groups() if g)])))
@@ -185,5 +201,5 @@ def expand(pattern: str, folder: str = ".") -> list[tuple[str, str]]:
     return found
 
 
-def is_pattern(name: str) -> bool:
-    return bool(re.search(r"[*?]|\{[^{}]*(,|\.\.)[^{}]*\}", name)) and not os.path.exists(name)
+def is_pattern(spark: SparkSession, name: str) -> bool:
+    return bool(re.search(r"[*?]|\{[^{}]*(,|\.\.)[^{}]*\}", name)) and not _exists(spark, name)

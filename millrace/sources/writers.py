@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import unicodedata
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
@@ -12,6 +10,8 @@ from typing import TYPE_CHECKING, Any
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .shared import remove, shared_path, store_of
+
 if TYPE_CHECKING:
     from ..engine import Output
 
@@ -21,9 +21,9 @@ def csv_line(cells: list[str]) -> str:
     return ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n\r') else c for c in cells)
 
 
-def write_csv(out: Output, path: str) -> None:
-    """Write a folder of CSV part files, in order, the header in the first line of each."""
-    header = csv_line(out.header)
+def write_csv(out: Output, path: str, header: bool = True) -> None:
+    """Write a folder of CSV part files, in order, the header in the first line of each or nowhere."""
+    head = [csv_line(out.header)] if header else []
     frame = out.frame(ordered=True, as_text=True)
     frame = frame.toDF(*(f"c{i}" for i in range(len(out.header))))
 
@@ -31,7 +31,7 @@ def write_csv(out: Output, path: str) -> None:
         first = True
         for batch in batches:
             made = [csv_line(list(row)) for row in batch.itertuples(index=False)]
-            yield pd.DataFrame({"value": [header, *made] if first else made})
+            yield pd.DataFrame({"value": [*head, *made] if first else made})
             first = False
 
     frame.select(*(F.coalesce(c, F.lit("")).alias(c) for c in frame.columns)).mapInPandas(lines, "value string").write.text(path)
@@ -44,10 +44,6 @@ def csv_text(out: Output) -> Iterator[str]:
         yield csv_line(row)
 
 
-def read_header(line: str) -> list[str]:
-    return next(csv.reader(io.StringIO(line)))
-
-
 def _width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
@@ -86,21 +82,63 @@ def shown(text: str, options: dict[str, Any]) -> str:
     return made.rstrip("0").rstrip(".") if "." in made else made
 
 
-def table_text(out: Output) -> Iterator[str]:
-    """The aligned table of ``fmt``: numbers right-justified, two blanks between columns."""
+def _measured(options: dict[str, Any]):
+    """For each partition and column: whether cells are numbers, and the widest cell as text and as a number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, name in enumerate(batch.columns):
+                cells = batch[name].tolist()
+                filled = [c for c in cells if c.strip()]
+                numbers = all(_number(c) is not None for c in filled)
+                narrow = max(map(_width, cells), default=0)
+                shorter = max((_width(shown(c, options)) for c in cells), default=0) if numbers else 0
+                yield pd.DataFrame({"i": [i], "filled": [len(filled)], "numbers": [numbers], "plain": [narrow], "shown": [shorter]})
+
+    return run
+
+
+def table_text(out: Output, stripes: bool = True) -> Iterator[str]:
+    """The aligned table of ``fmt``: numbers right-justified, two blanks between columns.
+
+    Spark finds kinds and widths of the columns; rows then pass one partition at a time.
+    With ``-s`` every second row is shaded where *stripes* are wanted.
+    """
     options = out.table or {}
-    rows = [r for r in out.rows()]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(out.header)
-    numeric = []
-    for cells in columns:
-        filled = [c for c in cells if c.strip()]
-        numeric.append(bool(filled) and all(_number(c) is not None for c in filled))
-    shown_rows = [[shown(c, options) if n else c for c, n in zip(r, numeric, strict=True)] for r in rows]
-    lines = [out.header, *shown_rows]
-    widths = [max(_width(r[i]) for r in lines) for i in range(len(out.header))]
-    for r in lines:
-        cells = []
-        for c, n, w in zip(r, numeric, widths, strict=True):
+    frame = out.frame(ordered=False, as_text=True).toDF(*(f"c{i}" for i in range(len(out.header))))
+    frame = frame.select(*(F.coalesce(c, F.lit("")).alias(c) for c in frame.columns))
+    sizes = frame.mapInPandas(_measured(options), "i int, filled long, numbers boolean, plain int, shown int")
+    sizes = sizes.groupBy("i").agg(F.sum("filled").alias("filled"), F.every("numbers").alias("numbers"), F.max("plain").alias("plain"), F.max("shown").alias("shown"))
+    found = {r.i: r for r in sizes.collect()}  # a row a column
+    numeric = [i in found and found[i].numbers and found[i].filled > 0 for i in range(len(out.header))]
+    widths = [max(_width(h), (found[i].shown if n else found[i].plain) if i in found else 0) for i, (h, n) in enumerate(zip(out.header, numeric, strict=True))]
+
+    def line(cells: list[str]) -> str:
+        padded = []
+        for c, n, w in zip(cells, numeric, widths, strict=True):
             pad = " " * (w - _width(c))
-            cells.append(pad + c if n else c + pad)
-        yield "  ".join(cells).rstrip()
+            padded.append(pad + c if n else c + pad)
+        return "  ".join(padded)
+
+    yield line(out.header).rstrip()
+    for number, row in enumerate(out.rows()):
+        made = line([shown(c, options) if n else c for c, n in zip(row, numeric, strict=True)])
+        yield f"\x1b[48;5;236m{made}\x1b[0m" if options.get("stripes") and stripes and number % 2 else made.rstrip()
+
+
+def write_file(out: Output, path: str) -> None:
+    """One CSV file: parts are written by all tasks to the shared folder, then put together in order."""
+    spark = out.relation.df.sparkSession
+    folder = shared_path(spark, "csv")
+    write_csv(out, folder, header=False)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in store.listStatus(hadoop.Path(folder)) if s.getPath().getName().startswith("part-"))
+    files, root = store_of(folder)
+    with open(path, "wb") as to:
+        to.write(csv_line(out.header).encode() + b"\n")
+        for name in names:
+            with files.open_input_stream(f"{root}/{name}", compression=None) as part:
+                while chunk := part.read(1 << 22):
+                    to.write(chunk)
+    remove(spark, folder)

@@ -110,3 +110,96 @@ def test_script_errors(run, script):
 def test_row_errors_stop_the_run(run, script):
     with pytest.raises(Exception, match="not a number|division by zero"):
         run(script)
+
+
+def test_patterns_are_unicode_and_end_at_the_end(run):
+    text = "t\n٣\né\na\nab\n"
+    assert run(r"select t =~ '^\d$'", text) == ["t", "٣"]
+    assert run(r"select t =~ '^\w$'", text) == ["t", "٣", "é", "a"]
+    assert run(r"select t =~ '(?P<x>A)b' || t =~ '(?i)^É'", text) == ["t", "é"]
+    for bad in ("(?=a)", r"\1", "(?>a)", "a*+", "[a", r"\Qa"):
+        with pytest.raises(ScriptError):
+            run(f"select t =~ '{bad}'", text)
+
+
+def test_nan_compares_with_nothing(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None)], "i int, q double")
+    rows = lambda s: [r.i for r in Engine(spark).run(s, df).frame().collect()]
+    assert rows("select i < nan") == [] and rows("select i != nan") == [1, 2, 3]
+    assert rows("select num(q) >= i") == [1] and rows("select num(q) != i") == [2, 3]
+    assert rows("select q > 0") == [1] and rows("select i < num(q) + 1") == [1]
+
+
+def test_numbers_are_alike_by_their_text(run, spark):
+    df = spark.createDataFrame([(0.1 + 0.2, 1), (0.3, 2), (-0.0, 3), (0.0, 4)], "k double, v int")
+    got = [tuple(r) for r in Engine(spark).run("agg n=count by k", df).frame().collect()]
+    assert sorted(got, key=str) == sorted([(0.3, 2), (-0.0, 1), (0.0, 1)], key=str)
+    assert Engine(spark).run("uniq k", df).frame().count() == 3
+
+
+NUMBERS = [0.0, -0.0, 1 / 3, 0.1 + 0.2, 1e-7, 1e11 + 0.1, 1727136000.123456, 1e22, 2.5, -7.0, 9.9999999999999995, 1e15 + 0.5, 123456.789, 5e-324, 1e-9, 0.000123456789012345678]
+
+
+def test_number_text(spark):
+    """Native texts against the plain rules, for known numbers, ties and random ones of every size."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from millrace.functions.values import format_number, formatted
+
+    random.seed(3)
+    known = {1 / 3: "0.333333333333333", 0.1 + 0.2: "0.3", 1e-7: "0.0000001", 1e11 + 0.1: "100000000000.10001", 1727136000.123456: "1727136000.123456"}
+    assert all(format_number(v) == t for v, t in known.items()) and format_number(-0.0) == "-0"
+    some = [v for v in NUMBERS if v == 0 or abs(v) >= 1e-7]
+    some += [random.choice([1, -1]) * random.random() * 10 ** random.uniform(-6, 22) for _ in range(3000)]
+    some += [random.randint(1, 2**53) / 2 ** random.randint(1, 60) for _ in range(2000)] + [round(random.uniform(0, 1e5), 2) for _ in range(500)]
+    some = [v for v in some if v == 0 or abs(v) >= 1e-7] + [float("nan"), float("inf"), -float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in some], "v double")
+    plan = df.select(formatted(F.col("v")).alias("t"))
+    assert [r.t for r in plan.collect()] == [format_number(v) for v in some]
+    assert "Python" not in plan._jdf.queryExecution().toString()
+
+
+def test_braces_in_quotes_stay_in_the_fragment(run):
+    assert run("fn f(c) { select c == '}' || c == 'red' | cols id } f(name)") == ["id", "1", "3"]
+
+
+def test_rows_around_matches_over_buckets(run, monkeypatch):
+    """Numbers, the row before and rows around a match, where every bucket has a few rows, against plain lists."""
+    text = "id,v\n" + "".join(f"{i},{i * 7 % 50}\n" for i in range(200))
+    rows = [(i, i * 7 % 50) for i in range(200)]
+    monkeypatch.setattr("millrace.sources.files.CHUNK_BYTES", 64)
+    by_value = sorted(rows, key=lambda r: r[1])
+    for script, order in (("", rows), ("sort v | ", by_value), ("sort v=r id=r | ", sorted(rows, reverse=True, key=lambda r: (r[1], r[0])))):
+        ids = [str(i) for i, _ in order]
+        assert run(f"{script}add n = rownum() | cols id,n", text) == ["id,n", *(f"{i},{n}" for n, i in enumerate(ids, 1))]
+        assert run(f"{script}add p = prev(id) | cols id,p", text) == ["id,p", *(f"{i},{ids[max(0, n - 1)]}" for n, i in enumerate(ids))]
+        hits = [n for n, (i, _) in enumerate(order) if i % 60 == 7]
+        near = [i for n, i in enumerate(ids) if any(n - 3 <= h <= n + 2 for h in hits)]
+        assert run(f"{script}select -B 2 -A 3 id % 60 == 7 | cols id", text) == ["id", *near]
+        assert run(f"{script}tail +150 | cols id", text) == ["id", *ids[149:]]
+        assert run(f"{script}head -n -150 | cols id", text) == ["id", *ids[:50]]
+
+
+def test_many_files_are_cut_into_many_buckets(spark, tmp_path):
+    """Eight files: windows by piece of the scan, no single partition over rows and no nested loops; order kept after agg."""
+    spark.range(0, 8000, 1, 8).selectExpr("id", "cast(id % 13 as int) as g").write.parquet(f"{tmp_path}/t.parquet")
+    engine = Engine(spark, str(tmp_path))
+    out = engine.run("add p = prev(id) | select id != p + 1 || rownum() == 8000 | cols id,p", "t.parquet")
+    assert [tuple(r) for r in out.frame(ordered=True).collect()] == [(0, 0), (7999, 7998)]
+    plan = out.frame()._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    out = engine.run("agg n=count, first=min(id) by g | add p = prev(g) | add r = rownum()", "t.parquet")
+    assert [tuple(r)[0] for r in out.frame(ordered=True).collect()] == list(range(13))
+    plan = engine.run("agg n=count by g", "t.parquet").frame(ordered=True)._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_removed_verbs_and_typed_result(run, spark):
+    with pytest.raises(ScriptError, match="agg"):
+        run("group name")
+    (run.folder / "typed.csv").write_text("n,code,blank,text\n1,007,,x\n,8,,2\n")
+    made = Engine(spark, str(run.folder)).run("cols 1-4", "typed.csv").columns()
+    assert made["n"][0] == 1.0 and made["n"][1] != made["n"][1] and made["code"] == ["007", "8"] and made["text"] == ["x", "2"]
+    assert all(v != v for v in made["blank"])
