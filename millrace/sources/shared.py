@@ -6,6 +6,7 @@ import atexit
 import gc
 import re
 import shutil
+import time
 import uuid
 
 import pyarrow.fs
@@ -80,11 +81,16 @@ def released(*tables: DataFrame) -> None:
         remove(table.sparkSession, table._staged_path)
 
 
+_RELEASE_SECONDS = 0.3
+
+
 def swept(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished queries.
 
     Spark removes them when the driver has collected what referred to them, which a driver
     with memory to spare may do much later than executors run out of disk.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first collection frees what refers to the second's
+        gc.collect()
+        time.sleep(_RELEASE_SECONDS)  # until the driver's JVM has heard what Python let go of
+        spark.sparkContext._jvm.System.gc()
