@@ -1,13 +1,16 @@
 """Quality rules, line first (native expressions only).
 
-Each line is judged on its own by punctuation, navigation and boilerplate rules;
-failing lines are removed, and a document that loses too much of its text, or
-fails a base rule, is rejected.  Everything is a row-local expression over one
+Each line is judged on its own by punctuation, navigation and boilerplate rules; wordings
+of page furniture are those of four languages, and count in lines of at most
+``FURNITURE_WORDS`` words, as a paragraph may well speak of a privacy policy.  Failing
+lines are removed, and a document that loses too much of its text, or fails a base rule,
+is rejected.  Everything is a row-local expression over one
 scan: no shuffle, no Python.
 
 Defined cases: a null text has no words; a text without words fails the base rule
-(fewer than ``MIN_WORDS`` words); very long texts are judged whole (sorting the
-word windows of one text is the only step that is not linear); repeated rows are
+(fewer than ``MIN_WORDS`` words); very long texts and lines are judged whole (sorting the
+word windows of one text is the only step that is not linear; windows of one text are told
+apart by 64-bit hashes); repeated rows and null ids are
 judged alike; an empty table gives an empty result; extra columns pass through and
 lose to a result column of the same name.
 """
@@ -35,9 +38,30 @@ SHORT_LINE = 4
 #: Boilerplate comes in lines of at most so many words.
 FURNITURE_WORDS = 30
 
-# Wordings of page furniture, matched on lower-cased lines.
-_NAVIGATION = r"^(home|menu|log ?in|sign ?(in|up)|next( page)?|previous( page)?|back to top|skip to (main )?content|read more|share (this|on) .*|search|contact( us)?|about( us)?)\W*$"
-_BOILERPLATE = r"all rights reserved|(accept|use[sd]?) (of )?cookies|enable javascript|terms of (use|service)|privacy policy|subscribe to our|click here to|lorem ipsum"
+# Wordings of page furniture in English, French, German and Spanish, matched
+# on lower-cased lines.
+_NAVIGATION_WORDS = (
+    "home", "menu", "log ?in", "sign ?(in|up)", "next( page)?", "previous( page)?", "back to top", "skip to (main )?content",
+    "read more", "share (this|on) .*", "search", "contact( us)?", "about( us)?",
+    "accueil", "connexion", "se connecter", "s'inscrire", "page suivante", "page précédente", "retour en haut", "aller au contenu",
+    "lire la suite", "partager sur .*", "rechercher", "nous contacter", "à propos( de nous)?",
+    "startseite", "anmelden", "registrieren", "nächste seite", "vorherige seite", "nach oben", "zum inhalt springen",
+    "weiterlesen", "teilen auf .*", "suche", "kontakt", "über uns", "impressum",
+    "inicio", "menú", "iniciar sesión", "registrarse", "página siguiente", "página anterior", "volver arriba", "ir al contenido",
+    "leer más", "compartir en .*", "buscar", "contacto", "sobre nosotros",
+)
+_BOILERPLATE_WORDS = (
+    "all rights reserved", "(accept|use[sd]?) (of )?cookies", "enable javascript", "terms of (use|service)", "privacy policy",
+    "subscribe to our", "click here to", "lorem ipsum",
+    "tous droits réservés", "utilis(e|ation) (de|des) cookies", "activer javascript", "conditions d'utilisation",
+    "politique de confidentialité", "abonnez-vous à", "cliquez ici pour",
+    "alle rechte vorbehalten", "(verwendet|verwendung von) cookies", "javascript aktivieren", "nutzungsbedingungen",
+    "datenschutzerklärung", "abonnieren sie unseren", "klicken sie hier",
+    "todos los derechos reservados", "uso de cookies", "activar javascript", "términos (de uso|y condiciones)",
+    "política de privacidad", "suscríbete a", "haga clic aquí",
+)
+_NAVIGATION = f"^({'|'.join(_NAVIGATION_WORDS)})\\W*$"
+_BOILERPLATE = "|".join(_BOILERPLATE_WORDS)
 
 
 def _count(text: Column, kind: str) -> Column:

@@ -717,3 +717,79 @@ def test_license_against_brute_force(spark, empty):
     assert sorted(got, key=str) == sorted([(i, *_scanned_plainly(t)) for i, t in rows], key=str)
     assert sum(bool(g[-1]) for g in got) > 80
     assert license_scan.scan(empty).count() == 0
+
+
+def _judged_plainly(text):
+    """The line rules in plain Python: (kept, the text that is left)."""
+    gap = " \t\n\x0b\x0c\r"
+
+    def words(t):
+        return [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+
+    def fails(line):
+        low, n, chars = line.strip(" ").lower(), len(words(line)), sum(c not in gap for c in line)
+        share = lambda kind: sum(c in kind for c in line)
+        no_end = n < 4 and not re.search("[.!?…:;。！？][\"'”’»)\\]]*[" + gap + "]*\n?$", line)
+        bars = share("|»›·•")
+        navigation = (bars >= 3 and bars * 5 > n) or re.search(quality_rules._NAVIGATION.replace("\\W", "[^A-Za-z0-9_]"), low)
+        boilerplate = n <= 30 and re.search(quality_rules._BOILERPLATE, low)
+        odd = (n > 4 and share("!?;:=/\\_~^+\"`@.,()[]{}#*$%&|<>-") * 4 > chars) or share("#*$%&|<>") * 10 > chars
+        return chars > 0 and bool(no_end or navigation or boilerplate or odd)
+
+    text = text or ""
+    left = "\n".join(x for x in text.split("\n") if not fails(x))
+    w = words(text)
+    grams = Counter(zip(w, w[1:], w[2:], strict=False))
+    cover = {j + k for j in range(len(w) - 2) if grams[tuple(w[j : j + 3])] > 1 for k in range(3)}
+    lost = sum(c not in gap for c in left) * 100 < sum(map(len, w)) * 60
+    return not (len(w) < 50 or 2 * len(cover) > len(w) or lost), left
+
+
+def test_rules_verdict_against_brute_force(spark):
+    rng = np.random.default_rng(0)
+    lines = ["Home", "Tous droits réservés.", "Alle Rechte vorbehalten - Impressum", "a | b | c | d", "Weiterlesen »", "Política de privacidad y uso de cookies.", "###$$$%%% x", "", "   ", "short line", "x; y; z: (a) [b] {c}!", "Zwei Wörter."]
+    rows = []
+    for i in range(200):
+        prose = [" ".join(f"w{rng.integers(900)}" for _ in range(int(rng.integers(5, 25)))) + rng.choice([".", "", "!", ' »', "…"]) for _ in range(int(rng.integers(0, 9)))]
+        rows.append((i, "\n".join(rng.permutation([*prose, *rng.choice(lines, int(rng.integers(0, 8)))]).tolist())))
+    rows += [(500, None), (None, rows[3][1]), (501, "all rights reserved " * 5000), (502, "word. " * 30_000)]
+    got = {r.doc_id: (r.kept, r.clean_text) for r in quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: _judged_plainly(t) for i, t in rows}
+    assert 20 < sum(k for k, _ in got.values()) < 180
+
+
+def test_classifier_solves_its_dual(monkeypatch):
+    """At the solution of the descent the primal's gradient vanishes, as that of squared hinge loss must."""
+    monkeypatch.setattr(quality_nb, "EPOCHS", 400)
+    rng = np.random.default_rng(0)
+    rows = [np.unique(rng.integers(0, 40, 8)).astype(np.int32) for _ in range(60)]
+    good = np.array([(r < 20).mean() + rng.normal(0, 0.2) > 0.5 for r in rows])
+    ratio = quality_nb._ratios(rows, good)
+    counts = np.ones((2, 1 << quality_nb.BITS))
+    for r, g in zip(rows, good, strict=True):
+        counts[int(g), r] += 1
+    p = counts / counts.sum(1, keepdims=True)
+    assert np.allclose(ratio, np.log(p[1] / p[0]))
+    sign = np.where(good, 1.0, -1.0)
+    weight, bias = quality_nb._descend(rows, sign, ratio)
+    x = np.zeros((len(rows), len(ratio) + 1))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.linalg.norm(ratio[r])
+        x[i, -1] = 1.0
+    w = np.append(weight, bias)
+    share = np.where(good, good.mean(), (~good).mean())
+    cost = quality_nb.COST / (2 * share)  # of a row's squared loss
+    slack = np.maximum(0, 1 - sign * (x @ w))
+    gradient = w - 2 * ((cost * slack * sign) @ x)
+    assert np.abs(gradient).max() < 1e-6 * max(1, np.abs(w).max()) and slack.max() > 0
+
+
+def test_classifier_odd_rows(spark):
+    """Null ids, repeated rows, a very long text and columns that clash with the result's."""
+    text = "river stone walks evening paper. " * 3
+    rows = [(None, text), (1, text), (1, text), (2, "BUY $$$ click " * 40_000), (3, None)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, score string, good string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (1, 1)], "doc_id long, quality int")
+    found = quality_nb.score(docs, quality_nb.train(docs, labels))
+    assert found.columns == ["doc_id", "held_out", "score", "predicted"] and found.count() == 5
+    assert len({r.score for r in found.filter("doc_id = 1 or doc_id is null").collect()}) == 1
