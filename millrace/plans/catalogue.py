@@ -6,6 +6,7 @@ the shared folder first.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +51,8 @@ S("select_string", "lineitem", "select l_returnflag == 'R' | cols l_orderkey,l_l
   "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag = 'R'")
 S("select_auto", "lineitem", "select l_quantity < l_linenumber | cols l_orderkey,l_linenumber,l_quantity",
   "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity < l_linenumber")
-S("select_regex", "part", "select p_name =~ '^[A-M].*[0-9]$' && p_brand !~ '#1' | cols p_partkey,p_name,p_brand",
-  "SELECT p_partkey, p_name, p_brand FROM part WHERE regexp_matches(p_name, '^[A-M].*[0-9]$') AND NOT regexp_matches(p_brand, '#1')")
+S("select_regex", "part", "select p_name =~ '(?i)^[a-p].*[[:alnum:]]$' && p_brand !~ '#1\\d' | cols p_partkey,p_name,p_brand",
+  "SELECT p_partkey, p_name, p_brand FROM part WHERE regexp_matches(p_name, '(?i)^[a-p].*[[:alnum:]]$') AND NOT regexp_matches(p_brand, '#1[0-9]')")
 S("select_affix", "orders", "select o_orderpriority ^= '1' || o_orderpriority $= 'LOW' || o_orderpriority *= 'NOT' | cols o_orderkey,o_orderpriority",
   "SELECT o_orderkey, o_orderpriority FROM orders WHERE starts_with(o_orderpriority, '1') OR ends_with(o_orderpriority, 'LOW') OR contains(o_orderpriority, 'NOT')")
 S("select_not", "orders", "select -v o_orderstatus == 'F' || o_totalprice > 300000 | cols o_orderkey,o_orderstatus,o_totalprice",
@@ -133,6 +134,33 @@ S("heatmap_data", "lineitem", "graph heatmap l_linenumber l_quantity -b 4 -D",
   "WITH b AS (SELECT min(l_linenumber)::DOUBLE x0, max(l_linenumber)::DOUBLE x1, min(l_quantity) y0, max(l_quantity) y1 FROM lineitem), c AS (SELECT least(floor(((l_linenumber / 2.0::DOUBLE - x0 / 2) / (x1 / 2 - x0 / 2)) * 4), 3)::INT i, least(floor(((l_quantity / 2 - y0 / 2) / (y1 / 2 - y0 / 2)) * 4), 3)::INT j, count(*) n FROM lineitem, b GROUP BY 1, 2) SELECT CASE WHEN i = 0 THEN x0 ELSE x0 * (1 - i / 4.0::DOUBLE) + x1 * (i / 4.0::DOUBLE) END AS l_linenumber, CASE WHEN j = 0 THEN y0 ELSE y0 * (1 - j / 4.0::DOUBLE) + y1 * (j / 4.0::DOUBLE) END AS l_quantity, n AS count FROM c, b")
 S("select_agg_flagship", "lineitem", "select l_quantity > 45 && l_returnflag == 'R' | agg n=count, avg_price=mean(l_extendedprice) by l_linestatus | add avg_price = round(avg_price * 100)",
   "SELECT l_linestatus, count(*) AS n, round(avg(l_extendedprice) * 100)::DOUBLE AS avg_price FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R' GROUP BY 1")
+S("select_nan", "lineitem", "add q = l_quantity > 25 ? num('nan') : l_quantity | select l_linenumber < q || l_linenumber == nan | cols l_orderkey,l_linenumber,q",
+  "SELECT l_orderkey, l_linenumber, l_quantity AS q FROM lineitem WHERE l_quantity <= 25 AND l_linenumber < l_quantity")
+S("select_infinite", "lineitem", "select l_quantity < inf && l_quantity > -inf && l_quantity != nan && l_linenumber > 5 | cols l_orderkey,l_linenumber",
+  "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber > 5")
+S("fn_exp_logs", "customer", "add x = abs(c_acctbal) + 1 | add e = round(exp(c_nationkey / 10) * 1000000) | add l = round(log(x) * 1000000) | add t = round(log10(x) * 1000000) | add w = round(log2(x) * 1000000) | add z = log(0) | cols c_custkey,e,l,t,w,z",
+  "SELECT c_custkey, round(exp(c_nationkey / 10.0::DOUBLE) * 1000000)::DOUBLE AS e, round(ln(abs(c_acctbal) + 1) * 1000000)::DOUBLE AS l, round(log10(abs(c_acctbal) + 1) * 1000000)::DOUBLE AS t, round(log2(abs(c_acctbal) + 1) * 1000000)::DOUBLE AS w, '-inf'::DOUBLE AS z FROM customer")
+S("fn_pow_special", "customer", "add a = pow(1, nan) | add b = pow(-1, inf) | add c = pow(c_nationkey, 0.5) | add c = round(c * 1000000) | cols c_custkey,a,b,c",
+  "SELECT c_custkey, 1.0::DOUBLE AS a, 1.0::DOUBLE AS b, round(sqrt(c_nationkey) * 1000000)::DOUBLE AS c FROM customer")
+S("cast_str_fractions", "customer", "add s = str(c_acctbal) | add t = str(c_acctbal / 4) | cols c_custkey,s,t",
+  "SELECT c_custkey, regexp_replace(regexp_replace(printf('%.2f', c_acctbal), '0+$', ''), '\\.$', '') AS s, regexp_replace(regexp_replace(printf('%.4f', c_acctbal / 4), '0+$', ''), '\\.$', '') AS t FROM customer")
+S("agg_float_key", "lineitem", "agg n=count by l_discount,l_tax", "SELECT l_discount, l_tax, count(*) AS n FROM lineitem GROUP BY 1, 2")
+S("prev_after_agg", "events", "sort event_id | agg n=count, first=min(event_id) by user_id | sort user_id | add d = n - prev(n) | cols user_id,n,first,d",
+  "WITH g AS (SELECT user_id, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1) SELECT user_id, n, first, (n - coalesce(lag(n) OVER (ORDER BY user_id), n))::DOUBLE AS d FROM g")
+S("rownum_unsorted", "events", "add r = rownum() | agg low=min(r), high=max(r), n=count", "SELECT 1.0::DOUBLE AS low, count(*)::DOUBLE AS high, count(*) AS n FROM events")
+S("rownum_after_sort", "lineitem", "sort l_shipdate l_orderkey l_linenumber | select rownum() % 1000 == 0 | cols l_orderkey,l_linenumber",
+  "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n % 1000 = 0")
+S("tail_from_large", "lineitem", "sort l_extendedprice=nr l_orderkey l_linenumber | tail +2001 | agg n=count, top=max(l_extendedprice)",
+  "SELECT count(*) AS n, max(l_extendedprice) AS top FROM (SELECT l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber OFFSET 2000)")
+S("head_neg_large", "orders", "sort o_totalprice o_orderkey | head -n -500 | agg n=count, top=max(o_totalprice)",
+  "SELECT count(*) AS n, max(o_totalprice) AS top FROM (SELECT o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT (SELECT greatest(count(*) - 500, 0) FROM orders))")
+S("context_wide", "orders", "sort o_orderkey | select -B 5 -A 9 o_totalprice > 480000 | cols o_orderkey",
+  "SELECT o_orderkey FROM (SELECT o_orderkey, max((o_totalprice > 480000)::INT) OVER (ORDER BY o_orderkey ROWS BETWEEN 9 PRECEDING AND 5 FOLLOWING) AS hit FROM orders) WHERE hit = 1")
+S("uniq_first_of_key", "lineitem", "uniq l_partkey | agg n=count", "SELECT count(DISTINCT l_partkey) AS n FROM lineitem")
+S("time_axis", "orders", "select o_totalprice > 450000 | graph line o_orderdate o_totalprice -D", "SELECT o_orderdate, o_totalprice FROM orders WHERE o_totalprice > 450000")
+S("head_tail_fold", "nation", "sort n_nationkey | tail +4 | head 10 | tail 3 | cols n_nationkey", "SELECT n_nationkey FROM nation WHERE n_nationkey BETWEEN 10 AND 12")
+S("quoted_names", "nation", "rename `n_name`='the name' | select `the name` ^= 'A' | add `a b` = `the name` ++ '!' | cols 'a b' | rename 'a b'=ab", "SELECT n_name || '!' AS ab FROM nation WHERE starts_with(n_name, 'A')")
+S("fragment_quoted_brace", "nation", "fn mark(c) { add m = c ++ '}' | cols m } mark(n_name)", "SELECT n_name || '}' AS m FROM nation")
 _csv_script("csv_scan", "supplier", ["s_suppkey", "s_name", "s_nationkey"], "select s_nationkey >= 10 | add k = num(s_suppkey) | cols s_name,s_nationkey,k",
   "SELECT s_name, s_nationkey::VARCHAR AS s_nationkey, s_suppkey::DOUBLE AS k FROM supplier WHERE s_nationkey >= 10")
 _csv_script("csv_auto_sort", "customer", ["c_custkey", "c_acctbal", "c_mktsegment"], "sort c_acctbal c_custkey | head 25 | cols c_custkey",
@@ -143,6 +171,67 @@ _csv_script("csv_prev", "events", ["event_id", "value"], "sort event_id=n | add
   "SELECT event_id::VARCHAR AS event_id, p::VARCHAR AS p FROM (SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS p FROM events) WHERE event_id > p")
 
 
+_csv_script("csv_mixed_sort", "part", ["p_partkey", "p_size", "p_name"], "add k = p_size % 3 == 0 ? '' : p_size % 3 == 1 ? p_name : p_size | sort k p_partkey=n | head 2000 | select rownum() % 50 == 0 | cols p_partkey",
+  "SELECT p_partkey::VARCHAR AS p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_size % 3 = 1, CASE p_size % 3 WHEN 0 THEN 0 WHEN 2 THEN p_size END, CASE WHEN p_size % 3 = 1 THEN p_name END, p_partkey) AS n FROM part) WHERE n % 50 = 0 AND n <= 2000")
+_csv_script("csv_blank_keys", "part", ["p_partkey", "p_size", "p_name"], "select p_size <= 20 | add k = p_size > 10 ? '' : p_size | agg n=count, m=count(k) by k",
+  "SELECT CASE WHEN p_size > 10 THEN '' ELSE p_size::VARCHAR END AS k, count(*) AS n, count(CASE WHEN p_size <= 10 THEN 1 END) AS m FROM part WHERE p_size <= 20 GROUP BY 1")
+
+
+def _headerless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV copy whose first line is taken as a row, with names given apart."""
+    from ..sources.writers import write_csv
+
+    engine, path = Engine(spark), shared_path(spark, "csv")
+    write_csv(engine.run("cols n_nationkey,n_name", f"{sf_dir}/nation.parquet"), path, header=False)
+    return engine.run("select key >= 20 | cols key,name", path, header="key,name").frame()
+
+
+def _from_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a pattern in the shared folder, joined by key, their columns marked by what the pattern stood for."""
+    from ..sources.writers import write_csv
+
+    engine, folder = Engine(spark), shared_path(spark, "pattern")
+    for part in (2, 10):
+        write_csv(engine.run(f"select n_nationkey >= {part} | cols n_nationkey,n_name", f"{sf_dir}/nation.parquet"), f"{folder}/nation.{part}.csv")
+    return engine.run(f"from '{folder}/nation.10.csv' on n_nationkey | join {folder}/nation.{{2,10}}.csv on n_nationkey | cols -v n_name").frame()
+
+
+_QUERIES["csv_headerless"], _SQL["csv_headerless"] = _headerless, "SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation WHERE n_nationkey >= 20"
+_QUERIES["join_pattern"], _SQL["join_pattern"] = _from_pattern, "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name AS n_name_2, n_name AS n_name_10 FROM nation WHERE n_nationkey >= 10"
+
+
+def _stream(name: str, table: str, script: str, sql: str) -> None:
+    """The script as a stream over the table's rows, brought to its end."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..streaming.pipeline import stream
+
+        path = f"{sf_dir}/{table}.parquet"
+        source = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, path))
+        frame, mode = stream(spark, script.replace("$DIR", sf_dir), source)
+        title = f"millrace_{name}_{uuid.uuid4().hex[:8]}"
+        query = frame.writeStream.format("memory").queryName(title).outputMode(mode).option("checkpointLocation", shared_path(spark, "stream")).start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        return spark.table(title)
+
+    _QUERIES[name], _SQL[name] = run, sql
+
+
+def _folder(spark: SparkSession, path: str) -> str:
+    """A folder that holds the table's files alone, as streams read folders."""
+    folder = shared_path(spark, "source")
+    spark.read.parquet(path).write.parquet(folder)
+    return folder
+
+
+_stream("stream_rows", "orders", "select o_totalprice > 400000 | add k = o_totalprice / 1000 | cols o_orderkey,k", "SELECT o_orderkey, o_totalprice / 1000 AS k FROM orders WHERE o_totalprice > 400000")
+_stream("stream_agg", "orders", "agg n=count, top=max(o_totalprice) by o_orderstatus", "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1")
+_stream("stream_join", "nation", "join $DIR/region.parquet on n_regionkey=r_regionkey | cols n_name,r_name", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+
 def _from_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).run(f"from (select n_regionkey == 1) {sf_dir}/nation.parquet | cols n_name,n_nationkey").frame()
 
