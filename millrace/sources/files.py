@@ -76,6 +76,10 @@ def scan_parquet(spark: SparkSession, path: str) -> Relation:
     return Relation(_doubles(scan, fields), fields, **known)
 
 
+#: Cell after cell from the line's start: a quoted one with what follows it, or another.
+_CELLS = r'\G(,?)(?:("(?:[^"]|"")*")[^,]*|([^,]*))'
+
+
 def scan_csv(spark: SparkSession, path: str, header: str | None = None) -> Relation:
     """Lines split by commas; ``"`` quotes, no row spans lines; short rows read as blank cells."""
     reader = spark.read.option("lineSep", "\n")
@@ -103,7 +107,9 @@ def scan_csv(spark: SparkSession, path: str, header: str | None = None) -> Relat
     fields = [Field(n, fresh("c"), "text") for n in names]
     schema = ", ".join(f"{f.physical} string" for f in fields)
     options = {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\x01", "mode": "PERMISSIVE"}
-    valid = F.when(F.is_valid_utf8("_line"), F.col("_line")).otherwise(F.raise_error(F.lit("the input is not valid UTF-8")).cast("string"))
+    # what follows a closing quote inside its cell is dropped
+    plain = F.when(F.col("_line").rlike('"[^",]'), F.regexp_replace("_line", _CELLS, "$1$2$3")).otherwise(F.col("_line"))
+    valid = F.when(F.is_valid_utf8("_line"), plain).otherwise(F.raise_error(F.lit("the input is not valid UTF-8")).cast("string"))
     cells = lines.select(F.from_csv(valid, schema, options).alias("_row"), *(c for c, _ in order))
     kept = [F.coalesce(F.col(f"_row.{f.physical}"), F.lit("")).alias(f.physical) for f in fields]
     return Relation(cells.select(*kept, *(c for c, _ in order)), fields, **known)

@@ -2,8 +2,9 @@
 
 Verbs that look at one row at a time run as a stateless append query; an inner or left
 join meets a static right side; ``uniq`` keeps its keys as state; ``agg`` runs in
-complete mode.  Verbs that need the order or the end of the input (sort, head, tail,
-stats, prev, rownum, context, graph, right and full joins) have no streaming form.
+complete mode; ``head N`` takes the first rows to arrive.  Verbs that need the order or the
+end of the input (sort, tail, stats, prev, rownum, context, graph, right and full joins)
+have no streaming form.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def _check(stages: list[Stage]) -> str:
             if mode == "complete":
                 raise ScriptError("a stream is aggregated once")
             mode = "complete"
-        elif s.verb not in _ROWWISE | {"join", "uniq", "fmt", "color"}:
+        elif s.verb not in _ROWWISE | {"join", "uniq", "fmt", "color"} and not (s.verb == "head" and "first" in s.args):
             raise ScriptError(f"'{s.verb}' has no streaming form")
     return mode
 

@@ -86,6 +86,13 @@ def test_csv_shapes(run):
     assert run("head 9", text) == ["a,b", '"x,1","say ""hi"""', ",", "short,", "long,2"]
 
 
+def test_what_follows_a_closing_quote_is_dropped(run):
+    text = 'a,b,c\n"x"junk,"y,""z"" "more,3\n1,"two" ,\n'
+    assert run("head 9", text) == ["a,b,c", 'x,"y,""z"" ",3', "1,two,"]
+    with pytest.raises(ScriptError):
+        run("join - on a", text)
+
+
 def test_headerless(run):
     assert run("cols c2", "1,x\n2,y\n", header="-") == ["c2", "x", "y"]
 
