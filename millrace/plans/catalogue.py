@@ -159,7 +159,7 @@ S("context_wide", "orders", "sort o_orderkey | select -B 5 -A 9 o_totalprice > 4
 S("uniq_first_of_key", "lineitem", "uniq l_partkey | agg n=count", "SELECT count(DISTINCT l_partkey) AS n FROM lineitem")
 S("time_axis", "orders", "select o_totalprice > 450000 | graph line o_orderdate o_totalprice -D", "SELECT o_orderdate, o_totalprice FROM orders WHERE o_totalprice > 450000")
 S("head_tail_fold", "nation", "sort n_nationkey | tail +4 | head 10 | tail 3 | cols n_nationkey", "SELECT n_nationkey FROM nation WHERE n_nationkey BETWEEN 10 AND 12")
-S("quoted_names", "nation", "rename `n_name`='the name' | select `the name` ^= 'A' | add `a b` = `the name` ++ '!' | cols 'a b' | rename 'a b'=ab", "SELECT n_name || '!' AS ab FROM nation WHERE starts_with(n_name, 'A')")
+S("quoted_names", "nation", "rename `n_name`='the name' | select `the name` *= '1' | add `a b` = `the name` ++ '!' | cols 'a b' | rename 'a b'=ab", "SELECT n_name || '!' AS ab FROM nation WHERE contains(n_name, '1')")
 S("fragment_quoted_brace", "nation", "fn mark(c) { add m = c ++ '}' | cols m } mark(n_name)", "SELECT n_name || '}' AS m FROM nation")
 _csv_script("csv_scan", "supplier", ["s_suppkey", "s_name", "s_nationkey"], "select s_nationkey >= 10 | add k = num(s_suppkey) | cols s_name,s_nationkey,k",
   "SELECT s_name, s_nationkey::VARCHAR AS s_nationkey, s_suppkey::DOUBLE AS k FROM supplier WHERE s_nationkey >= 10")
