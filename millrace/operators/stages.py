@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column
@@ -273,6 +272,3 @@ def stats(rel: Relation, args: dict) -> Relation:
 
 def needs_number(stages: list[Stage]) -> bool:
     return any(uses(s.args["expr"], "rownum") for s in stages if s.verb in ("select", "add"))
-
-
-TRANSFORMS: dict[str, Callable] = {"cols": cols, "rename": rename, "select": select, "add": add}
