@@ -16,7 +16,8 @@ similarity of 0.8.
     on the bits in which 512-bit parities of the sets differ (no more than the elements in
     which the sets do).  What is left is verified on the exact sets of the whole texts.
 
-Large groups: the texts of a prefix element are first compared with one of them, and then
+Large groups: each text is first compared with the closest that its SimHash links it with,
+then with the head of its prefix elements that it has the most of them in common with; then
 only texts whose verified links have not brought them together already are paired, without
 making the pairs inside the group that prevails under an element.
 
@@ -198,26 +199,30 @@ def _possible(n: str, left: str, m: str, right: str):
 
 
 def _by_simhash(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of one node for each SimHash with others of it, and of SimHashes that link."""
+    """Pairs (a, b), a < b: each node with one of its own SimHash, and that one with the closest SimHash it links with."""
     prints = nodes.filter("n > 0").select("node", "fp")
     heads = staged(prints.groupBy("fp").agg(F.min("node").alias("head")), "near-prints")
     same = prints.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    linked = simhash.links(heads.select("fp"))
+    links = simhash.links(heads.select("fp"))
+    both = links.union(links.select("b", "a"))
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    closest = both.groupBy("a").agg(F.min(F.struct(apart.alias("apart"), "b")).alias("near")).select("a", F.col("near.b").alias("b"))
     x, y = (heads.toDF(side, f"{side}_head") for side in ("a", "b"))
-    linked = linked.join(x, "a").join(y, "b")
+    linked = closest.join(x, "a").join(y, "b")
     linked = linked.select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b"))
     return same.union(linked).distinct()
 
 
 def _ties(postings: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes of different groups, one of them the head of a common element."""
+    """Pairs (a, b), a < b, of different groups: each node with the head that it has the most prefix elements in common with."""
     one = F.struct(F.xxhash64("node"), "node", "a_group", "n", "left")
     heads = postings.groupBy("key").agg(F.min(one).alias("top")).select(
         "key", F.col("top.node").alias("head"), F.col("top.a_group").alias("of"), F.col("top.n").alias("m"), F.col("top.left").alias("right")
     )
     met = postings.join(staged(heads, "near-heads"), "key").filter(F.col("a_group") != F.col("of"))
-    met = met.filter(_possible("n", "left", "m", "right"))
-    return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    met = met.filter(_possible("n", "left", "m", "right")).groupBy("node", "head").agg(F.count(F.lit(1)).alias("common"))
+    best = met.groupBy("node").agg(F.max(F.struct("common", "head")).alias("top")).select("node", F.col("top.head").alias("head"))
+    return best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
 def _meetings(postings: DataFrame) -> DataFrame:
