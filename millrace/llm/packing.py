@@ -53,9 +53,8 @@ def byte_encoder(path: str) -> Callable[[str], bytes]:
         vocabulary = Vocabulary(path)
         value = {c: b for b, c in enumerate(byte_letters())}
         ranks = {bytes(map(value.__getitem__, t)): i for t, i in vocabulary.ids.items() if t not in vocabulary.special}
-        fast = tiktoken.Encoding("byte", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens=vocabulary.special)
-        state[path] = fast, Encoder(vocabulary)
-    fast, plain = state[path]
+        state[path] = tiktoken.Encoding("byte", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens=vocabulary.special)
+    fast, plain = state[path], (path, "plain")
 
     def encode(text: str) -> bytes:
         try:
@@ -63,7 +62,9 @@ def byte_encoder(path: str) -> Callable[[str], bytes]:
         except BaseException as e:
             if type(e).__name__ != "PanicException":
                 raise
-            return plain.encode(text)
+            if plain not in state:  # held by the workers that need it alone
+                state[plain] = Encoder(Vocabulary(path))
+            return state[plain].encode(text)
 
     return encode
 
