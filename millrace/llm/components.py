@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import never_sent, staged
 
 #: Edges that one task keeps in memory.
 BLOCK_EDGES = 500_000
@@ -88,11 +88,11 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
         )
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # only neighbours above u move: those are the edges with a = u
-        out = edges.withColumnRenamed("a", "u").join(staged(least, "cc-least"), "u").select(F.col("m"), F.col("b").alias("v"))
+        out = edges.withColumnRenamed("a", "u").join(never_sent(staged(least, "cc-least")), "u").select(F.col("m"), F.col("b").alias("v"))
     else:
         up = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = staged(up.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
-        out = up.join(least, "u").select("m", "v").union(least.select("m", F.col("u").alias("v")))
+        out = up.join(never_sent(least), "u").select("m", "v").union(least.select("m", F.col("u").alias("v")))
     return out.filter("m != v").select(F.least("m", "v").alias("a"), F.greatest("m", "v").alias("b")).distinct()
 
 

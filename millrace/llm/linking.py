@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import never_sent, staged
 
 
 def with_groups(rows: DataFrame, groups: DataFrame, side: str) -> DataFrame:
     """*rows* with the group of their column *side*, itself where (node, component) *groups* has none."""
-    found = rows.join(groups.select(F.col("node").alias(side), "component"), side, "left")
+    found = rows.join(never_sent(groups.select(F.col("node").alias(side), "component")), side, "left")
     return found.select(*rows.columns, F.coalesce("component", side).alias(f"{side}_group"))
 
 
@@ -26,10 +26,12 @@ def pairs_across(own: DataFrame, asked: DataFrame, keys: list[str], symmetric: b
     counts = own.groupBy(*keys, "a_group").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy(*keys).agg(F.max(F.struct("n", "a_group")).alias("main"))
     main = staged(main.select(*keys, F.col("main.a_group").alias("main")), "across-main")
-    asked = asked.join(main, keys)
-    strangers = asked.filter("b_group <> main").drop("main")
-    met = own.join(strangers, keys).filter("a_group <> b_group")
+    asked = asked.join(never_sent(main), keys)
+    # written, else the joins below would take over its partitions, which cannot be split
+    strangers = staged(asked.filter("b_group <> main").drop("main"), "across-strangers")
+    met = own.join(never_sent(strangers), keys).filter("a_group <> b_group")
     if symmetric:
         return met
-    odd = own.join(main, keys).filter("a_group <> main").drop("main")
-    return met.unionByName(odd.join(asked.filter("b_group = main").drop("main"), keys))
+    odd = staged(own.join(never_sent(main), keys).filter("a_group <> main").drop("main"), "across-odd")
+    inside = staged(asked.filter("b_group = main").drop("main"), "across-inside")
+    return met.unionByName(odd.join(never_sent(inside), keys))

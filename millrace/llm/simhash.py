@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, staged
+from .common import never_sent, released, staged
 from .components import connected_components
 from .linking import pairs_across, with_groups
 
@@ -97,12 +97,12 @@ def links(distinct: DataFrame) -> DataFrame:
 
     # one fingerprint of each bucket, for all that look the bucket up
     heads = table.groupBy("seg", "key").agg(F.min("a").alias("a"), F.count(F.lit(1)).alias("n"))
-    met = ball.join(heads, ["seg", "key"]).filter((F.col("n") > 1) | (F.col("a") != F.col("b")))
+    met = ball.join(never_sent(heads), ["seg", "key"]).filter((F.col("n") > 1) | (F.col("a") != F.col("b")))
     met = staged(met, "simhash-met")
     stars = staged(met.filter((F.col("a") != F.col("b")) & close).select(*ordered).distinct(), "simhash-stars")
     groups = connected_components(stars)
     shared = met.filter("n > 1")
-    table = table.join(shared.select("seg", "key").distinct(), ["seg", "key"], "left_semi")
+    table = table.join(never_sent(shared.select("seg", "key").distinct()), ["seg", "key"], "left_semi")
     own = staged(with_groups(table, groups, "a"), "simhash-own")
     asked = staged(with_groups(shared.select("seg", "key", "b"), groups, "b"), "simhash-asked")
     found = pairs_across(own, asked, ["seg", "key"]).filter(close).select(*ordered)
@@ -116,12 +116,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = staged(fingerprints(docs, id_col, text_col), "simhash-rows")
     classes = staged(rows.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-classes")
     component = connected_components(links(classes.select("fp")))
-    labelled = classes.join(component.withColumnRenamed("node", "fp"), "fp", "left").select(
+    labelled = classes.join(never_sent(component.withColumnRenamed("node", "fp")), "fp", "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("root")
     )
     labelled = staged(labelled, "simhash-roots")
     smallest = staged(labelled.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-smallest")
-    classes = staged(labelled.join(smallest, "root").select("fp", "component_id"), "simhash-labels")
-    return rows.join(classes, "fp").select(
+    classes = staged(labelled.join(never_sent(smallest), "root").select("fp", "component_id"), "simhash-labels")
+    return rows.join(never_sent(classes), "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -753,3 +753,21 @@ def test_classifier_odd_rows(spark):
     found = quality_nb.score(docs, quality_nb.train(docs, labels))
     assert found.columns == ["doc_id", "held_out", "score", "predicted"] and found.count() == 5
     assert len({r.score for r in found.filter("doc_id = 1 or doc_id is null").collect()}) == 1
+
+
+def _joins_sent(spark, run):
+    """The plans with a broadcast join among those that *run* has executed."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = store.executionsList(int(before), int(store.executionsCount() - before))
+    plans = [plans.apply(i).physicalPlanDescription() for i in range(plans.size())]
+    assert any("Join" in p for p in plans)
+    return [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_simhash_sends_no_table_to_the_driver(spark, docs):
+    """Tables under the session's threshold grow with the input; several at once were too large for the driver."""
+    assert not _joins_sent(spark, lambda: simhash.near_duplicates(docs).collect())
