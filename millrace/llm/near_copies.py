@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import released, staged, swept, text_or_empty
+from .common import never_sent, released, staged, swept, text_or_empty
 from .components import connected_components
 from .linking import pairs_across, with_groups
 
@@ -170,7 +170,7 @@ def _sets(named: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node").take(rows), pa.array(sets, pa.binary())], ["node", "set"])
 
     sets = named.select("node", "_text").mapInArrow(run, "node long, set binary")
-    return sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+    return sets.join(wanted.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,12 +202,12 @@ def _by_simhash(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b: each node with one of its own SimHash, and that one with the closest SimHash it links with."""
     prints = nodes.filter("n > 0").select("node", "fp")
     heads = staged(prints.groupBy("fp").agg(F.min("node").alias("head")), "near-prints")
-    same = prints.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    same = prints.join(never_sent(heads), "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     links = simhash.links(heads.select("fp"))
     both = links.union(links.select("b", "a"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     closest = both.groupBy("a").agg(F.min(F.struct(apart.alias("apart"), "b")).alias("near")).select("a", F.col("near.b").alias("b"))
-    x, y = (heads.toDF(side, f"{side}_head") for side in ("a", "b"))
+    x, y = (never_sent(heads.toDF(side, f"{side}_head")) for side in ("a", "b"))
     linked = closest.join(x, "a").join(y, "b")
     linked = linked.select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b"))
     return same.union(linked).distinct()
@@ -219,7 +219,7 @@ def _ties(postings: DataFrame) -> DataFrame:
     heads = postings.groupBy("key").agg(F.min(one).alias("top")).select(
         "key", F.col("top.node").alias("head"), F.col("top.a_group").alias("of"), F.col("top.n").alias("m"), F.col("top.left").alias("right")
     )
-    met = postings.join(staged(heads, "near-heads"), "key").filter(F.col("a_group") != F.col("of"))
+    met = postings.join(never_sent(staged(heads, "near-heads")), "key").filter(F.col("a_group") != F.col("of"))
     met = met.filter(_possible("n", "left", "m", "right")).groupBy("node", "head").agg(F.count(F.lit(1)).alias("common"))
     best = met.groupBy("node").agg(F.max(F.struct("common", "head")).alias("top")).select("node", F.col("top.head").alias("head"))
     return best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
@@ -240,7 +240,7 @@ def _grouped(postings: DataFrame, groups: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
     """The pairs whose shingle sets are similar enough."""
     names = ["n", *_PARITY]
-    sides = (nodes.toDF(k, *(f"{k}_{c}" for c in names)) for k in ("a", "b"))
+    sides = (never_sent(nodes.toDF(k, *(f"{k}_{c}" for c in names))) for k in ("a", "b"))
     apart, (x, y) = F.lit(0), sides
     for p in _PARITY:
         apart = apart + F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}")))
@@ -249,7 +249,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame
     pairs = staged(pairs.join(x, "a").join(y, "b").filter(close).select("a", "b"), "near-pairs")
     wanted = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-wanted")
     sets = staged(_sets(named, wanted), "near-sets")
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    both = pairs.join(never_sent(sets.toDF("a", "set_a")), "a").join(never_sent(sets.toDF("b", "set_b")), "b")
     links = staged(both.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long"), "near-links")
     released(pairs, wanted, sets)
     swept(named.sparkSession)
@@ -306,7 +306,7 @@ def _labelled(named: DataFrame) -> DataFrame:
     found = staged(found, "near-roots")
     least = found.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("rows"))
     least = least.select("root", F.col("first.node").alias("keep_node"), F.col("first._id").alias("keep_id"), F.col("first.n").alias("keep_repeats"), "rows")
-    return staged(found.select("node", "root").join(staged(least, "near-least"), "root").drop("root"), "near-labels")
+    return staged(found.select("node", "root").join(never_sent(staged(least, "near-least")), "root").drop("root"), "near-labels")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,7 +314,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named = _told_apart(*_named(docs, id_col, text_col))
     labels = _labelled(named)
     rows = staged(named.select("_id", "node"), "near-rows")
-    return rows.join(labels, "node").select(F.col("_id").alias(id_col), F.col("keep_id").alias("group_id"))
+    return rows.join(never_sent(labels), "node").select(F.col("_id").alias(id_col), F.col("keep_id").alias("group_id"))
 
 
 def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -771,3 +771,8 @@ def _joins_sent(spark, run):
 def test_simhash_sends_no_table_to_the_driver(spark, docs):
     """Tables under the session's threshold grow with the input; several at once were too large for the driver."""
     assert not _joins_sent(spark, lambda: simhash.near_duplicates(docs).collect())
+
+
+def test_near_copies_send_no_table_to_the_driver(spark, docs):
+    assert not _joins_sent(spark, lambda: near_copies.near_copies(docs).collect())
+    assert not _joins_sent(spark, lambda: near_copies.firsts(docs).collect())
