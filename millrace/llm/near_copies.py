@@ -19,7 +19,11 @@ similarity of 0.8.
 Large groups: each text is first compared with the closest that its SimHash links it with,
 then with the head of its prefix elements that it has the most of them in common with; then
 only texts whose verified links have not brought them together already are paired, without
-making the pairs inside the group that prevails under an element.
+making the pairs inside the group that prevails under an element.  Where an element would
+still bring many pairs together, texts outside its largest group are first compared, over a
+few turns, with a fixed number of that group's texts, and linked with the closest by
+parities; a part of a group that is similar to a text is met so whatever the group's size.
+For pairs that are left there the bound on parities is part of the join.
 
 Names: a text is named by a 64-bit hash.  Texts that a second hash tells apart get another
 name, so that unlike texts never share one (but for an agreement of all 128 bits).
@@ -36,11 +40,12 @@ their names, and are ignored elsewhere.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -56,6 +61,9 @@ SHINGLE = 5
 SAMPLE, OFTEN, MOST = 16, 3, 1_000_000
 #: Bits that tell at the scan which texts have candidates, at most (32 MB in every task).
 MOST_BITS = 1 << 28
+#: Pairs of different groups for each row under an element, from which on it is crowded;
+#: texts that a row is compared with in a turn there, and turns at most.
+CROWD, HEADS, TURNS = 8, 8, 4
 _CACHED_WORDS = 200_000
 _PARITY = [f"p{i}" for i in range(8)]
 _MIX = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -192,12 +200,23 @@ def _postings(index: DataFrame) -> DataFrame:
     return each.join(staged(shared, "near-shared").hint("shuffle_hash"), "key", "left_semi").distinct()
 
 
-def _possible(n: str, left: str, m: str, right: str):
+def _possible(n: str, left: str, m: str, right: str) -> Column:
     """The bounds on lengths and places, for sets of n and m elements that meet where left and right are left."""
     lengths = OF * F.least(n, m) >= NEAR * F.greatest(n, m)
     return lengths & ((NEAR + OF) * F.least(left, right) >= NEAR * (F.col(n) + F.col(m)))
 
 
+def _apart(x: str, y: str) -> Column:
+    """The bits in which two parities differ, their columns' names beginning so."""
+    each = (F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}"))) for p in _PARITY)
+    return reduce(Column.__add__, each)
+
+
+def _close(apart: Column, n: str, m: str) -> Column:
+    """The bound on parities: similar sets differ in (OF - NEAR) of (OF + NEAR) parts of their elements at most."""
+    return (OF + NEAR) * apart <= (OF - NEAR) * (F.col(n) + F.col(m))
+
+
 def _by_simhash(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b: each node with one of its own SimHash, and that one with the closest SimHash it links with."""
     prints = nodes.filter("n > 0").select("node", "fp")
@@ -225,11 +244,53 @@ def _ties(postings: DataFrame) -> DataFrame:
     return best.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
 
 
-def _meetings(postings: DataFrame) -> DataFrame:
+def _crowded(postings: DataFrame) -> DataFrame:
+    """(key, main) of the elements with many pairs of different groups; main: the group with the most rows."""
+    counts = postings.groupBy("key", "a_group").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.groupBy("key").agg(
+        F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.max(F.struct("n", "a_group")).alias("main")
+    )
+    many = F.col("rows") * F.col("rows") - F.col("inside") > 2 * CROWD * F.col("rows")
+    return staged(found.filter(many).select("key", F.col("main.a_group").alias("main")), "near-crowded")
+
+
+def _with_parities(postings: DataFrame, crowded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows under crowded elements, with ``main`` and parities."""
+    found = postings.join(never_sent(crowded), "key").join(never_sent(nodes.select("node", *_PARITY)), "node")
+    return staged(found.select("key", "node", "n", "left", "a_group", "main", *_PARITY), "near-crowd")
+
+
+def _nearest(crowd: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different groups: each node with the closest of HEADS rows of each of its crowded elements.
+
+    The rows are drawn anew for each element and turn, from its main group first.
+    """
+    draws = [F.struct(F.col("a_group") != F.col("main"), F.xxhash64(F.lit(turn * HEADS + i), "key", "node"), "node", "a_group", "n", "left") for i in range(HEADS)]
+    drawn = crowd.groupBy("key").agg(*(F.min(d).alias(f"h{i}") for i, d in enumerate(draws)))
+    heads = [F.struct(*(F.col(f"h{i}.{c}").alias(c) for c in ("node", "a_group", "n", "left"))) for i in range(HEADS)]
+    heads = drawn.select("key", F.inline(F.array_distinct(F.array(*heads)))).toDF("key", "head", "of", "m", "right")
+    heads = staged(heads.join(never_sent(nodes.select(F.col("node").alias("head"), *(F.col(p).alias(f"_{p}") for p in _PARITY))), "head"), "near-heads")
+    apart = _apart("", "_")
+    met = crowd.join(never_sent(heads), "key").filter(F.col("a_group") != F.col("of")).filter(_possible("n", "left", "m", "right") & _close(apart, "n", "m"))
+    met = met.groupBy("node").agg(F.min(F.struct(apart / (F.col("n") + F.col("m")), "head")).alias("top")).select("node", F.col("top.head").alias("head"))
+    return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
+def _meetings(postings: DataFrame, crowded: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of nodes of different groups that have a prefix element in common."""
-    asked = postings.toDF("key", "_node", "_n", "_left", "b_group")
-    met = pairs_across(postings, asked, ["key"], symmetric=True).filter(_possible("n", "left", "_n", "_left"))
-    return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+
+    def met(rows: DataFrame, *bounds: Column) -> DataFrame:
+        asked = rows.select("key", *(F.col(c).alias("b_group" if c == "a_group" else f"_{c}") for c in rows.columns if c != "key"))
+        found = pairs_across(rows, asked, ["key"], symmetric=True).filter(_possible("n", "left", "_n", "_left"))
+        for bound in bounds:
+            found = found.filter(bound)
+        return found.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"))
+
+    if crowded.isEmpty():
+        return met(postings).distinct()
+    crowd = _with_parities(postings, crowded, nodes).drop("main")
+    quiet = staged(postings.join(never_sent(crowded), "key", "left_anti"), "near-quiet")
+    return met(quiet).union(met(crowd, _close(_apart("", "_"), "n", "_n"))).distinct()
 
 
 def _grouped(postings: DataFrame, groups: DataFrame) -> DataFrame:
@@ -240,12 +301,8 @@ def _grouped(postings: DataFrame, groups: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
     """The pairs whose shingle sets are similar enough."""
     names = ["n", *_PARITY]
-    sides = (never_sent(nodes.toDF(k, *(f"{k}_{c}" for c in names))) for k in ("a", "b"))
-    apart, (x, y) = F.lit(0), sides
-    for p in _PARITY:
-        apart = apart + F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}")))
-    # similar sets differ in (OF - NEAR) of (OF + NEAR) parts of their elements at most
-    close = (OF + NEAR) * apart <= (OF - NEAR) * (F.col("a_n") + F.col("b_n"))
+    x, y = (never_sent(nodes.toDF(k, *(f"{k}_{c}" for c in names))) for k in ("a", "b"))
+    close = _close(_apart("a_", "b_"), "a_n", "b_n")
     pairs = staged(pairs.join(x, "a").join(y, "b").filter(close).select("a", "b"), "near-pairs")
     wanted = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-wanted")
     sets = staged(_sets(named, wanted), "near-sets")
@@ -287,9 +344,20 @@ def _groups(named: DataFrame) -> DataFrame:
     postings = _grouped(plain, connected_components(links))
     links = links.union(_verified(_ties(postings), nodes, named))
     released(postings)
-    postings = _grouped(plain, connected_components(links))
+    for turn in range(TURNS + 1):
+        postings = _grouped(plain, connected_components(links))
+        crowded = _crowded(postings)
+        if turn == TURNS or crowded.isEmpty():
+            break
+        crowd = _with_parities(postings, crowded, nodes)
+        more = _verified(_nearest(crowd, nodes, turn), nodes, named)
+        released(crowd)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        released(postings)
     released(plain)
-    links = links.union(_verified(_meetings(postings), nodes, named))
+    links = links.union(_verified(_meetings(postings, crowded, nodes), nodes, named))
     released(postings)
     return connected_components(links)
 

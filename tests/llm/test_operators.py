@@ -776,3 +776,35 @@ def test_simhash_sends_no_table_to_the_driver(spark, docs):
 def test_near_copies_send_no_table_to_the_driver(spark, docs):
     assert not _joins_sent(spark, lambda: near_copies.near_copies(docs).collect())
     assert not _joins_sent(spark, lambda: near_copies.firsts(docs).collect())
+
+
+def test_near_copies_of_a_loose_group(spark, monkeypatch):
+    """Many texts around one, most pairs of them just above or below the similarity: few pairs are made, no link is lost."""
+    rng, base, texts = np.random.default_rng(5), [f"w{i}" for i in range(150)], []
+    for i in range(400):
+        words = list(base)
+        for at in rng.choice(150, rng.choice((2, 2, 3, 4)), replace=False):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, up, made = [set(near_copies.shingle_hashes(t).tolist()) for t in texts], list(range(400)), []
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i in range(400):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    verified = near_copies._verified
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    got = {r.doc_id: r.group_id for r in near_copies.near_copies(df).collect()}
+    assert got == {i: root(i) for i in range(400)}
+    assert len(set(got.values())) > 1 and sum(made) < 8 * len(texts)
