@@ -189,6 +189,15 @@ def test_rows_around_matches_over_buckets(run, monkeypatch):
         assert run(f"{script}head -n -150 | cols id", text) == ["id", *ids[:50]]
 
 
+def test_rows_around_matches_go_through_a_bucket_once(spark, tmp_path):
+    """No frame ends at its partition's end: Spark goes through such a frame again for every row."""
+    spark.range(0, 20000, 1, 1).write.parquet(f"{tmp_path}/t.parquet")
+    out = Engine(spark, str(tmp_path)).run("select -B 1 -A 2 id % 5000 == 4999", "t.parquet")
+    assert "unboundedfollowing" not in out.frame()._jdf.queryExecution().toString().lower()
+    near = [i for h in range(4999, 20000, 5000) for i in range(h - 1, h + 3) if i < 20000]
+    assert [r[0] for r in out.frame(ordered=True).collect()] == near
+
+
 def test_many_files_are_cut_into_many_buckets(spark, tmp_path):
     """Eight files: windows by piece of the scan, no single partition over rows and no nested loops; order kept after agg."""
     spark.range(0, 8000, 1, 8).selectExpr("id", "cast(id % 13 as int) as g").write.parquet(f"{tmp_path}/t.parquet")
