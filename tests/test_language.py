@@ -198,6 +198,20 @@ def test_rows_around_matches_go_through_a_bucket_once(spark, tmp_path):
     assert [r[0] for r in out.frame(ordered=True).collect()] == near
 
 
+def test_wide_context_over_the_buckets_of_a_sort(spark, tmp_path):
+    """Context that reaches over whole buckets on both sides, and no frame to the end of one."""
+    spark.range(0, 3000, 1, 3).selectExpr("(id * 7) % 3000 as id").write.parquet(f"{tmp_path}/t.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would put the buckets together
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = Engine(spark, str(tmp_path)).run("sort id=nr | select -B 500 -A 900 id == 2600 || id == 40", "t.parquet")
+        assert "unboundedfollowing" not in out.frame()._jdf.queryExecution().toString().lower()
+        assert [r[0] for r in out.frame(ordered=True).collect()] == [*range(2999, 1699, -1), *range(540, -1, -1)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_many_files_are_cut_into_many_buckets(spark, tmp_path):
     """Eight files: windows by piece of the scan, no single partition over rows and no nested loops; order kept after agg."""
     spark.range(0, 8000, 1, 8).selectExpr("id", "cast(id % 13 as int) as g").write.parquet(f"{tmp_path}/t.parquet")
