@@ -93,6 +93,20 @@ def test_what_follows_a_closing_quote_is_dropped(run):
         run("join - on a", text)
 
 
+@pytest.fixture
+def parts(spark, tmp_path):
+    """A folder of two CSV files with a header each."""
+    (tmp_path / "parts").mkdir()
+    (tmp_path / "parts" / "a.csv").write_text("id,v,t\n1,3,x\n2,1,pear\n3,2,x\n")
+    (tmp_path / "parts" / "b.csv").write_text("id,v,t\n4,5,x\n5,4,apple\n6,12,x\n")
+    return lambda script: list(csv_text(Engine(spark, str(tmp_path)).run(script, "parts")))
+
+
+def test_headers_of_many_files_are_not_read_as_numbers(parts):
+    assert parts("select v <= 5 | add k = v > 3 ? '' : v | agg n=count, m=count(k) by k") == ["k,n,m", "3,1,1", "1,1,1", "2,1,1", ",2,0"]
+    assert parts("select num(v) > 3 | cols id") == ["id", "4", "5", "6"]
+
+
 def test_headerless(run):
     assert run("cols c2", "1,x\n2,y\n", header="-") == ["c2", "x", "y"]
 
