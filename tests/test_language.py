@@ -107,6 +107,11 @@ def test_headers_of_many_files_are_not_read_as_numbers(parts):
     assert parts("select num(v) > 3 | cols id") == ["id", "4", "5", "6"]
 
 
+def test_mixed_sort_of_many_files(parts):
+    assert parts("add k = v % 3 == 0 ? '' : v % 3 == 1 ? t : v | sort k id=n | cols id,k") == ["id,k", "1,", "6,", "3,2", "4,5", "5,apple", "2,pear"]
+    assert parts("add k = v % 3 == 0 ? '' : v | sort k id=n | head 5 | select rownum() % 2 == 0 | cols id") == ["id", "6", "3"]
+
+
 def test_headerless(run):
     assert run("cols c2", "1,x\n2,y\n", header="-") == ["c2", "x", "y"]
 
